@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, merkle, mixing, pii, quality, secrets, sharding, suffixes
+from . import chat, decontaminate, jaccard, merkle, mixing, pii, quality, secrets, sharding, suffixes
 from .common import table
 
 #: Conversation -1 of the contract: both rows say this.
@@ -22,6 +22,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pii": op2_pii,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_secret_scan": op4_secret_scan,
     "op5_merkle_audit": op5_merkle_audit,
     "op7_decontamination": op7_decontamination,
