@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import EXTRA, KEY_BITS, NO_ID, PARTS, REPLY, count_rows, counted, each_block, n_buckets, opened, pack, parts, unzip, with_blocks, zip_
-from .common import drop_materialized, materialize, mixed, powers
+from .common import MIX, drop_materialized, materialize, mixed, powers
 
 LENGTH, SEED = 50, 20
+#: Starts of strings that are worked on at once.
+PIECE = 1 << 17
 #: Low bits of a hash that give way to the position when the least is sought.
 PLACE = np.uint64(28)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
@@ -36,10 +38,17 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 
 def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, first and last start of the strings that have it, row, and the anchor's 48-bit key: one for each run of strings with one anchor."""
+    """anchor, first and last start of the strings that have it, row, and the anchor's 48-bit key: one for each run of strings with one anchor.
+    Worked out PIECE starts at a time, which bounds the memory; a run that goes over the border of two pieces is two."""
+    got = [_anchors(raw[a : a + PIECE + LENGTH - 1], at[(at > a) & (at < a + PIECE + LENGTH - 1)] - a, a) for a in range(0, max(1, len(raw) - LENGTH + 1), PIECE)]
+    anchor, first, last, key = (np.concatenate(x) for x in zip(*got, strict=True))
+    return anchor, first, last, np.searchsorted(at, first, side="right") - 1, key
+
+
+def _anchors(raw: np.ndarray, borders: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, none = len(raw), np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64)
     up, down = powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
@@ -56,17 +65,18 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     place = (low & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
     del low
     whole = np.zeros(n + 2, np.int32)
-    np.add.at(whole, np.maximum(at[1:-1] - LENGTH + 1, 0), 1)
-    np.add.at(whole, at[1:-1], -1)
+    np.add.at(whole, np.maximum(borders - LENGTH + 1, 0), 1)
+    np.add.at(whole, borders, -1)
     starts = np.flatnonzero(np.cumsum(whole)[: len(place)] == 0)  # strings that cross no border of documents
     if not len(starts):
-        return none, none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64)
     p = place[starts]
     new = np.append(True, (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     a = p[new]
-    return a, first, last, np.searchsorted(at, first, side="right") - 1, h[a] >> (np.uint64(64) - KEY_BITS)
+    # hashed anew, as anchors' hashes are all small
+    return a + offset, first + offset, last + offset, mixed(h[a] ^ MIX) >> (np.uint64(64) - KEY_BITS)
 
 
 def _distinct_counts(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,5 +358,5 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     replies = materialize(counted(each_block(blocks, _count(buckets), PARTS)), "suffix-counts")
     runs = materialize(with_blocks(blocks, replies, _entries(buckets), PARTS), "suffix-runs")
     drop_materialized(replies)
-    answers = runs.where(f"kind = {REPLY}").groupBy("bucket").applyInArrow(_merge, PARTS)
+    answers = materialize(runs.where(f"kind = {REPLY}").groupBy("bucket").applyInArrow(_merge, PARTS), "suffix-answers")
     return with_blocks(blocks, answers.union(runs.where(f"kind = {EXTRA}")), _spans, RESULT)
