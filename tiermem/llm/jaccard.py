@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import EXTRA, KEY_BITS, NO_ID, PARTS, REPLY, bucket_cuts, count_rows, counted, each_block, n_buckets, opened, pack, packed_run, parts, unpacked_run, unzip, with_blocks, zip_
-from .common import components, drop_materialized, materialize, mixed, word_hashes, words
+from .common import MIX, components, drop_materialized, materialize, mixed, word_hashes, words
 
 NGRAM, PERCENT = 4, 85
 #: One in so many shingles, besides those that the size bound asks for, are looked at first.
@@ -87,8 +87,8 @@ def shared_there(n: int) -> int:
 
 
 def _looked(sets: list[np.ndarray], chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit keys that the chosen sets are looked up by, and whose they are."""
-    keys = [np.unique(s[: first_look(len(s))] >> _TOP) for s in (sets[i] for i in chosen)]
+    """48-bit keys that the chosen sets are looked up by (hashed anew, as the first look takes small hashes), and whose they are."""
+    keys = [np.unique(mixed(s[: first_look(len(s))] ^ MIX) >> _TOP) for s in (sets[i] for i in chosen)]
     return (np.concatenate(keys), np.repeat(np.array(chosen), [len(k) for k in keys])) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
