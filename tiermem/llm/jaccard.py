@@ -299,7 +299,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
     bins = max(8, buckets)
     sets = made.where(f"kind = {EXTRA}").select(F.col("bucket").alias("key"), "data")
-    placed = groups.join(sizes, "component").select(F.col("node").alias("key"), "component", "m").join(sets, "key")
+    # both sides grow with the input, so neither is broadcast at any size
+    placed = groups.join(sizes, "component").select(F.col("node").alias("key"), "component", "m").hint("merge").join(sets, "key")
     k = F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
     side = F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("key"), k).cast("int")).otherwise(F.lit(0))
     placed = placed.withColumn("side", side).withColumn("other", F.explode(F.when(F.col("m") > BLOCK, F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.lit(0)))))
