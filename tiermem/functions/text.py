@@ -1,0 +1,138 @@
+"""Text and time functions, as native expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def hms_seconds(stamp: Column) -> Column:
+    """h:m:s, m:s or s to seconds; missing counts as 00:00:00."""
+    p = F.split(F.coalesce(stamp, F.lit("00:00:00")), ":")
+    num = lambda i: p[i].cast("double")
+    return F.when(F.size(p) == 3, num(0) * 3600 + num(1) * 60 + num(2)).when(F.size(p) == 2, num(0) * 60 + num(1)).otherwise(num(0))
+
+
+def first_letter(said: Column) -> Column:
+    """The first A, B, C or D anywhere, else a question mark."""
+    return F.coalesce(F.nullif(F.regexp_extract(said, "[ABCD]", 0), F.lit("")), F.lit("?"))
+
+
+def question_stem(raw: Column) -> Column:
+    """What stands before a line that begins with (A)."""
+    has = F.instr(raw, "\n(A)") > 0
+    return F.when(has, _strip(F.substring_index(raw, "\n(A)", 1))).otherwise(_strip(raw))
+
+
+def question_options(raw: Column) -> Column:
+    """The options (A) to (D) of a block as "A. text"; none if there is no block."""
+    at = F.instr(raw, "\n(A)")
+    block = F.when(at > 0, F.substring(raw, at + 1, F.length(raw)))
+    parts = F.regexp_extract_all(block, F.lit(r"(?s)\([A-D]\)\s*.*?(?=\s*\([A-D]\)|\z)"), F.lit(0))
+    one = lambda o: F.concat(F.substring(o, 2, 1), F.lit(". "), _strip(F.regexp_replace(o, r"^\([A-D]\)\s*", "")))
+    return F.coalesce(F.transform(parts, one), F.expr("cast(array() as array<string>)"))
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def range_end(ref: Column) -> Column:
+    """b of "a-b", or all of it."""
+    r = _strip(ref)
+    return F.when(F.instr(r, "-") > 0, _strip(F.element_at(F.split(r, "-", 2), 2))).otherwise(r)
+
+
+def task_name(types: Column) -> Column:
+    return F.when(F.size(F.coalesce(types, F.expr("cast(array() as array<string>)"))) > 0, F.array_join(types, ", ")).otherwise(F.lit("unknown"))
+
+
+def literal_list(raw: Column) -> Column:
+    """A list literal to its strings; empty to none; what is no list to itself alone."""
+    parsed = F.from_json(F.regexp_replace(raw, "'", '"'), "array<string>")
+    looks = F.startswith(F.trim(raw), F.lit("[")) & F.endswith(F.trim(raw), F.lit("]"))
+    return F.when(F.coalesce(F.trim(raw), F.lit("")) == "", F.expr("cast(array() as array<string>)")).when(looks & parsed.isNotNull(), parsed).otherwise(F.array(raw))
+
+
+def sample_id(question_id: Column) -> Column:
+    return F.regexp_extract(question_id, r"_sample_(\d+)", 1).try_cast("int")
+
+
+def video_id(url: Column) -> Column:
+    """The 11 characters that name a video in the known forms of its address, or alone; null if there are none."""
+    in_url = F.regexp_extract(url, r"(?:[?&]v=|youtu\.be/|/embed/|/shorts/|/live/)([A-Za-z0-9_-]{11})", 1)
+    alone = F.regexp_extract(url, r"^([A-Za-z0-9_-]{11})$", 1)
+    return F.coalesce(F.nullif(in_url, F.lit("")), F.nullif(alone, F.lit("")))
+
+
+def chunked(ids: Column, size: int) -> Column:
+    """Pieces of at most size ids; no ids make one empty piece."""
+    if size <= 0:
+        raise ValueError("size must be positive")
+    n = F.size(ids)
+    return F.when(n == 0, F.array(ids)).otherwise(F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda i: F.slice(ids, i + 1, size)))
+
+
+def wrapped(chunks: Column, bos: int, eos: int, pad: int) -> Column:
+    """Each chunk between bos and eos, padded on the right to the longest, with its mask: array of (ids, mask)."""
+    longest = F.array_max(F.transform(chunks, lambda c: F.size(c))) + 2
+    return F.transform(
+        chunks,
+        lambda c: F.struct(
+            F.concat(F.array(F.lit(bos)), c, F.array(F.lit(eos)), F.array_repeat(F.lit(pad), longest - F.size(c) - 2)).alias("ids"),
+            F.concat(F.array_repeat(F.lit(1), F.size(c) + 2), F.array_repeat(F.lit(0), longest - F.size(c) - 2)).alias("mask"),
+        ),
+    )
+
+
+def option_text(options: Column, letter: Column) -> Column:
+    """The first option that begins with the letter and a period."""
+    return F.get(F.filter(options, lambda o: F.startswith(o, F.concat(letter, F.lit(".")))), F.lit(0))
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many decimals; null stays null. bround keeps the half-even rule for values that are exact ties in decimal."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", F.bround(x, places)))
+
+
+def uniform_sample(items: Column, n: int) -> Column:
+    """n items at evenly spread places, truncated; repeats where there are fewer."""
+    last = F.size(items) - 1
+    place = lambda i: (i * last / F.lit(max(n - 1, 1))).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(items, place(i)))).otherwise(items)
+
+
+def stride_sample(items: Column, most: int) -> Column:
+    """All items, or if there are more than most, every size/most-th."""
+    size = F.size(items)
+    return F.when(size <= most, items).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(items, (i * size / F.lit(most)).cast("int"))))
+
+
+# templates of the built-in captions and summaries
+
+
+def window_note(start: Column, end: Column) -> Column:
+    return F.concat(F.lit("Scene at "), fixed(start, 1), F.lit("–"), fixed(end, 1), F.lit("s"))
+
+
+def stitched(notes: Column, start: Column, end: Column) -> Column:
+    """One note stands for itself; several follow a header."""
+    return F.when(F.size(notes) == 1, notes[0]).otherwise(F.concat(F.lit("Episode "), fixed(start, 1), F.lit("–"), fixed(end, 1), F.lit("s: "), F.array_join(notes, "; ")))
+
+
+def event_note(summaries: Column, start: Column, end: Column) -> Column:
+    """Header and what stands before the first colon of five summaries at most."""
+    heads = F.transform(F.slice(summaries, 1, 5), lambda s: F.trim(F.substring_index(s, ":", 1)))
+    return F.concat(F.lit("Event "), fixed(start, 1), F.lit("–"), fixed(end, 1), F.lit("s: "), F.array_join(heads, " → "))
+
+
+def episode_default(start: Column, end: Column, n: Column) -> Column:
+    return F.concat(F.lit("Episode "), fixed(start, 1), F.lit("–"), fixed(end, 1), F.lit("s ("), n.cast("string"), F.lit(" windows)"))
+
+
+def event_default(summaries: Column, start: Column, end: Column) -> Column:
+    return F.concat(F.lit("Event "), fixed(start, 1), F.lit("–"), fixed(end, 1), F.lit("s: "), F.array_join(F.slice(summaries, 1, 3), " | "))
+
+
+def memory_note(start: Column, end: Column) -> Column:
+    return F.concat(F.lit("Memory "), fixed(start, 1), F.lit("–"), fixed(end, 1), F.lit("s"))
