@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,12 +65,8 @@ def max_similarity(query: Column, vectors: Column) -> Column:
 
 def to_bytes(dim: int):
     """Arrow UDF: vector to little-endian float32 bytes; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(v: pd.Series) -> pd.Series:
-        import numpy as np
-
         return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
 
     return encode
@@ -76,12 +74,8 @@ def to_bytes(dim: int):
 
 def from_bytes(dim: int):
     """Arrow UDF: bytes back to a vector; a size other than dim is an error."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(v: pd.Series) -> pd.Series:
-        import numpy as np
-
         def one(x):
             if x is None:
                 return None

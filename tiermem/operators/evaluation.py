@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_letter
 
-H, B = F.col("hierarchical.correct"), F.col("baseline.correct")
+#: SQL conditions of a correct answer by either system.
+H, B = "hierarchical.correct", "baseline.correct"
 
 
 def judged(prediction: Column, answer: Column) -> Column:
@@ -22,18 +23,18 @@ def _ratio(part: Column, n: Column) -> Column:
 
 def accuracy(records: DataFrame) -> DataFrame:
     """One row, also for no records at all."""
-    rows = records.agg(F.count("*").alias("n_qas"), F.count_if(H).alias("hier_correct"), F.count_if(B).alias("base_correct"))
+    rows = records.agg(F.count("*").alias("n_qas"), F.count_if(F.col(H)).alias("hier_correct"), F.count_if(F.col(B)).alias("base_correct"))
     n = F.col("n_qas")
     return rows.select("n_qas", "hier_correct", "base_correct", _ratio(F.col("hier_correct"), n).alias("hier_accuracy"), _ratio(F.col("base_correct"), n).alias("base_accuracy"), _ratio(F.col("hier_correct") - F.col("base_correct"), n).alias("delta_accuracy"))
 
 
 def paired(records: DataFrame) -> DataFrame:
-    return records.agg(F.count_if(H & ~B).alias("hierarchical_only"), F.count_if(B & ~H).alias("baseline_only"), F.count_if(H & B).alias("both_correct"), F.count_if(~H & ~B).alias("both_wrong"))
+    return records.agg(F.count_if(F.expr(f"{H} and not {B}")).alias("hierarchical_only"), F.count_if(F.expr(f"{B} and not {H}")).alias("baseline_only"), F.count_if(F.expr(f"{H} and {B}")).alias("both_correct"), F.count_if(F.expr(f"not {H} and not {B}")).alias("both_wrong"))
 
 
 def by_task(records: DataFrame) -> DataFrame:
     task = F.coalesce(F.nullif(F.col("task_type"), F.lit("")), F.lit("unknown"))
-    rows = records.groupBy(task.alias("task_type")).agg(F.count("*").alias("n"), F.count_if(H).alias("h"), F.count_if(B).alias("b"))
+    rows = records.groupBy(task.alias("task_type")).agg(F.count("*").alias("n"), F.count_if(F.col(H)).alias("h"), F.count_if(F.col(B)).alias("b"))
     return rows.select("task_type", "n", _ratio(F.col("h"), F.col("n")).alias("hierarchical_accuracy"), _ratio(F.col("b"), F.col("n")).alias("baseline_accuracy")).orderBy("task_type")
 
 
