@@ -305,7 +305,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     side = F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("key"), k).cast("int")).otherwise(F.lit(0))
     placed = placed.withColumn("side", side).withColumn("other", F.explode(F.when(F.col("m") > BLOCK, F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.lit(0)))))
     pair = F.when(F.col("m") <= BLOCK, 0).when(F.col("side") == F.col("other"), 1).otherwise(2)
-    task = F.when(F.col("m") <= SMALL, F.concat(F.lit("bin"), F.pmod(F.xxhash64("component"), F.lit(bins)))).otherwise(F.concat_ws("-", F.col("component"), F.least("side", "other"), F.greatest("side", "other")))
+    task = F.when(F.col("m") <= min(SMALL, BLOCK), F.concat(F.lit("bin"), F.pmod(F.xxhash64("component"), F.lit(bins)))).otherwise(F.concat_ws("-", F.col("component"), F.least("side", "other"), F.greatest("side", "other")))
     tasks = placed.select(task.alias("task"), "component", "key", "side", pair.alias("pair"), "data")
     out = materialize(tasks.groupBy("task").applyInArrow(_product, "key long, component long, root long, links long, split boolean"), "jaccard-links")
     drop_materialized(made)
