@@ -208,11 +208,14 @@ def test_quality(spark, odd, none):
     assert set(odd.columns) <= set(quality.judged(odd).columns)
 
 
-def test_quality_host_verdicts(spark):
+def test_quality_host_verdicts(spark, monkeypatch):
     """A host whose documents mostly fail is rejected with its good one; shrinkage spares a host with one bad document."""
     good = " ".join(f"word{i}" for i in range(30))
     rows = [(i, good, f"good{i % 10}") for i in range(400)] + [(1000 + i, "x", "bad") for i in range(40)] + [(2000, good, "bad"), (2001, "x", "tiny")]
     got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    monkeypatch.setattr(quality, "SENT_HOSTS", 3)
+    salted = {r.doc_id: r._q_kept for r in quality.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    assert salted == {d: r._q_kept for d, r in got.items()}
     assert not got[2000]._q_kept and not got[2000]._q_base_failed and got[0]._q_kept and got[2001]._q_rate_base < 1
 
 

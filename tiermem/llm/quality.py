@@ -19,6 +19,8 @@ MIN_WORDS, MAX_REPEAT = 10, 20
 WINDOW = 5
 #: A host is rejected if its shrunk rate of failing documents is above this.
 MAX_HOST_RATE = 0.5
+#: Verdicts of so many hosts are small enough to be sent to every task; beyond, hosts are split by so many salts.
+SENT_HOSTS, SALTS = 50_000, 64
 #: The other rules whose failures are counted by host; a failure of these alone never rejects a document.
 RULES = {"base": "_q_base_failed", "symbols": "_q_n_symbols > 0.1 * _q_word_chars", "lines": "_q_n_dup_lines > 0.3 * _q_n_lines", "length": "_q_word_chars < 2 * _q_n_words or _q_word_chars > 15 * _q_n_words"}
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -134,9 +136,14 @@ def host_verdicts(rows: DataFrame, host: str, limit: float = MAX_HOST_RATE) -> D
 
 
 def judged(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The measured rows with their host's figures and _q_kept. The measured rows are written once; verdicts are joined to them by host,
-    broadcast only where the optimizer finds them small enough."""
+    """The measured rows with their host's figures and _q_kept. Measured rows and verdicts are written once. The verdicts of at most
+    SENT_HOSTS hosts are broadcast; more are joined by host and salt, as one host may have a large part of all rows."""
     rows = materialize(measured(docs, text, keep), "quality")
-    verdicts = host_verdicts(rows, host)
-    out = rows.join(verdicts, rows[host] == verdicts["_q_host"], "left")
+    verdicts = materialize(host_verdicts(rows, host), "verdicts")
+    if verdicts.count() <= SENT_HOSTS:
+        out = rows.join(F.broadcast(verdicts), rows[host] == verdicts["_q_host"], "left")
+    else:
+        salted = rows.withColumn("_q_salt", F.pmod(F.xxhash64(*[F.col(c) for c in METRICS], F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        spread = verdicts.withColumn("_q_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = salted.join(spread, (salted[host] == spread["_q_host"]) & (salted["_q_salt"] == spread["_q_salt_of"]), "left").drop("_q_salt", "_q_salt_of")
     return out.withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce("_q_host_ok", F.lit(True)))
