@@ -75,6 +75,13 @@ def test_vector_bytes(spark):
         df.select(vector.from_bytes(3)(vector.to_bytes(2)("v"))).collect()
 
 
+def test_summary_dispatch(spark):
+    f = lambda kind, notes: one(spark, text.summary_of(F.lit(kind), F.col("a"), F.lit(0.0), F.lit(6.0)), a=notes)
+    assert f("window", ["x"]) == "x" and f("window", ["x", "y"]) == "Episode 0.0–6.0s: x; y"
+    assert f("episode", ["p: q", "r"]) == "Event 0.0–6.0s: p → r" and f("other", ["x"]) == "Memory 0.0–6.0s"
+    assert one(spark, text.tagged_notes(F.col("a")), a=["x", "y"]) == "[1/2] x\n\n[2/2] y"
+
+
 def test_sampling(spark):
     assert one(spark, text.uniform_sample(F.col("a"), 4), a=[1, 2, 3, 4, 5, 6, 7]) == [1, 3, 5, 7]
     assert one(spark, text.uniform_sample(F.col("a"), 4), a=[1, 2]) == [1, 1, 1, 2]

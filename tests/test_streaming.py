@@ -24,7 +24,7 @@ def _batch(r: Retrieval):
         value = None if h.stage in ("grounded", "pinned") else h.score
         entry = h.entry_id
         if h.stage in ("coarse", "episodic"):
-            entry = entry[:3] + entry.rsplit("-", 1)[1]
+            entry = entry if entry.startswith("ep-pending") else entry[:3] + entry.rsplit("-", 1)[1]
         out.append({"stream_id": h.stream_id, "tag": f"hit:{h.stage}", "id": h.question_id, "ord": h.rank, "members": entry, "value": value})
     for e in r.episodes.collect():
         out.append({"stream_id": e.stream_id, "tag": "episode", "id": f"ep-{e.episode_ord}", "ord": e.episode_ord, "members": ",".join(e.member_window_ids), "value": None})
@@ -45,10 +45,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == _batch(r)
 
 
-def test_formulas_equal_simulation(spark):
+@pytest.mark.parametrize("cut", [True, False])
+def test_formulas_equal_simulation(spark, cut):
     """Random streams with random parameters: batch state equals what a step-by-step memory does."""
     rng = random.Random(5)
-    config = Config(recent_capacity=4, novelty_threshold=0.05, episode_max_gap=4, episode_min_sim=0.6, episode_max_len=4, event_max_gap=8, event_min_episode_sim=0.3, episodic_merge_batch=3, episodic_capacity=2, top_m=2, top_k=3, pin_recent_n=2, recent_episodes=1, tau_fraction=0.2)
+    config = Config(recent_capacity=4, novelty_threshold=0.05, episode_max_gap=4, episode_min_sim=0.6, episode_max_len=4, event_max_gap=8, event_min_episode_sim=0.3, episodic_merge_batch=3, episodic_capacity=2, top_m=2, top_k=3, pin_recent_n=2, recent_episodes=1, tau_fraction=0.2, cut_on_query=cut)
     windows, questions, feed = [], [], {}
     for s in range(12):
         base, t = np.array([1.0, 0, 0]), 0.0

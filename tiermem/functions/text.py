@@ -136,3 +136,13 @@ def event_default(summaries: Column, start: Column, end: Column) -> Column:
 
 def memory_note(start: Column, end: Column) -> Column:
     return F.concat(F.lit("Memory "), fixed(start, 1), F.lit("–"), fixed(end, 1), F.lit("s"))
+
+
+def tagged_notes(notes: Column) -> Column:
+    """The notes of an episode's members, each under its place and the number of all, blank lines between."""
+    return F.array_join(F.transform(notes, lambda n, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("/"), F.size(notes).cast("string"), F.lit("] "), n)), "\n\n")
+
+
+def summary_of(kind: Column, notes: Column, start: Column, end: Column) -> Column:
+    """The template for what is summarised: kind "window" (notes of members), "episode" (summaries), else a range; nothing gives "empty"."""
+    return F.when(F.size(notes) == 0, F.lit("empty")).when(kind == "window", stitched(notes, start, end)).when(kind == "episode", event_note(notes, start, end)).otherwise(memory_note(start, end))

@@ -170,10 +170,10 @@ def firing(questions: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def state_at(fired: DataFrame, promoted: DataFrame, eps: DataFrame, evs_of: DataFrame, evs: DataFrame, config: Config) -> DataFrame:
-    """fired with evicted_to, n_episodes (formed by then), n_events and first_episode (the tier is first_episode .. n_episodes - 1).
+    """fired with evicted_to, n_episodes (begun by then), n_closed, n_events and first_episode (the tier's closed part is first_episode .. n_closed - 1).
 
     With cut_on_query every question closes the open episode, after capacity was last looked at: so that one does not count for consolidation,
-    if windows were promoted since the question before."""
+    if windows were promoted since the question before. Without, the last episode is still open, and searchable as open_at() gives it."""
     c = config.recent_capacity
     q = fired.withColumn("evicted_to", F.col("fired_ord") - c)
     points = q.select(KEY, "fired_ord", "evicted_to").where("fired_ord is not null").distinct()
@@ -183,12 +183,13 @@ def state_at(fired: DataFrame, promoted: DataFrame, eps: DataFrame, evs_of: Data
     )
     w = Window.partitionBy(KEY).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("last_promoted", F.max(F.when(F.col("kind") == 0, F.col("at"))).over(w)).withColumn("n_episodes", F.coalesce(F.max("episode_ord").over(w) + 1, F.lit(0).cast("long"))).where("kind = 1")
-    seen = seen.withColumn("closed", F.col("n_episodes") - F.coalesce(F.col("last_promoted") > F.col("evicted_before"), F.lit(False)).cast("long"))
+    pending = F.coalesce(F.col("last_promoted") > F.col("evicted_before"), F.lit(False)) if config.cut_on_query else F.col("n_episodes") > 0
+    seen = seen.withColumn("closed", F.col("n_episodes") - pending.cast("long")).withColumn("n_closed", F.col("n_episodes") if config.cut_on_query else F.col("closed"))
     over = F.col("closed") - config.episodic_capacity - 1
     due = evs_of.select(KEY, F.col("episode_ord").alias("over"), "event_ord")
     ends = evs.select(KEY, "event_ord", "episodes_to")
     seen = seen.withColumn("over", over).join(due, [KEY, "over"], "left").join(ends, [KEY, "event_ord"], "left")
-    seen = seen.select(KEY, "fired_ord", "n_episodes", F.coalesce(F.col("event_ord") + 1, F.lit(0).cast("long")).alias("n_events"), F.coalesce("episodes_to", F.lit(0).cast("long")).alias("first_episode"))
+    seen = seen.select(KEY, "fired_ord", "n_episodes", "n_closed", F.coalesce(F.col("event_ord") + 1, F.lit(0).cast("long")).alias("n_events"), F.coalesce("episodes_to", F.lit(0).cast("long")).alias("first_episode"))
     return q.join(seen, [KEY, "fired_ord"], "left")
 
 
@@ -200,9 +201,17 @@ def recent_at(state: DataFrame, windows: DataFrame, n: int) -> DataFrame:
 
 
 def episodes_at(state: DataFrame, eps: DataFrame) -> DataFrame:
-    """The searchable episodes at each question: at most capacity and one, or a cluster, so they are named by ordinal."""
-    some = state.where("n_episodes > first_episode")
-    return some.withColumn("episode_ord", F.explode(F.sequence("first_episode", F.col("n_episodes") - 1))).join(eps, [KEY, "episode_ord"])
+    """The closed searchable episodes at each question: at most capacity and one, or a cluster, so they are named by ordinal."""
+    some = state.where("n_closed > first_episode")
+    return some.withColumn("episode_ord", F.explode(F.sequence("first_episode", F.col("n_closed") - 1))).join(eps, [KEY, "episode_ord"])
+
+
+def open_at(state: DataFrame, segmented: DataFrame, config: Config) -> DataFrame:
+    """The open episode at each question that does not cut it: what of it had been evicted by then, pooled anew."""
+    some = state.where("n_episodes > n_closed").withColumn("episode_ord", F.col("n_episodes") - 1).withColumn("asked", F.concat_ws("|", KEY, "question_id"))
+    parts = some.select(KEY, "asked", "evicted_to", "episode_ord").join(segmented, [KEY, "episode_ord"]).where("window_ord <= evicted_to")
+    made = episodes(parts.drop(KEY).withColumnRenamed("asked", KEY), config).withColumn("episode_id", F.concat(F.lit("ep-pending-"), F.col("member_window_ids")[0], F.lit("-"), F.element_at("member_window_ids", -1)))
+    return some.join(made.withColumnRenamed(KEY, "asked").drop("episode_ord"), "asked").drop("asked")
 
 
 def events_at(state: DataFrame, evs: DataFrame) -> DataFrame:
@@ -216,14 +225,14 @@ def members(eps: DataFrame) -> DataFrame:
     return eps.select(KEY, "episode_ord", pairs).select(KEY, "episode_ord", "position", F.col("p.member_ords").alias("window_ord"), F.col("p.member_window_ids").alias("window_id"))
 
 
-def rep_neighbours(eps: DataFrame, radius: int) -> DataFrame:
+def rep_neighbours(eps: DataFrame, radius: int, keys: tuple[str, ...] = (KEY, "episode_ord")) -> DataFrame:
     """The representatives with radius members to either side, once each, in order of first mention: seq, position, window_id. Array expressions only."""
     spots = "transform(representative_window_ids, r -> cast(array_position(member_window_ids, r) as int))"
     picked = f"array_distinct(flatten(transform(filter({spots}, p -> p > 0), p -> sequence(greatest(1, p - {max(radius, 0)}), least(size(member_window_ids), p + {max(radius, 0)})))))"
     center = f"if({radius} < 0 or size(member_window_ids) <= {2 * radius + 1}, sequence(1, size(member_window_ids)), sequence(greatest(1, size(member_window_ids) div 2 + 1 - {radius}), least(cast(size(member_window_ids) as bigint), size(member_window_ids) div 2 + 1 + {radius})))"
     picked = f"if(size(representative_window_ids) > 0, {picked}, transform({center}, p -> cast(p as int)))"
-    rows = eps.select(KEY, "episode_ord", "member_window_ids", F.posexplode(F.expr(picked)).alias("seq", "place"))
-    return rows.select(KEY, "episode_ord", "seq", (F.col("place") - 1).alias("position"), F.element_at("member_window_ids", F.col("place")).alias("window_id"))
+    rows = eps.select(*keys, "member_window_ids", F.posexplode(F.expr(picked)).alias("seq", "place"))
+    return rows.select(*keys, "seq", (F.col("place") - 1).alias("position"), F.element_at("member_window_ids", F.col("place")).alias("window_id"))
 
 
 def center_grounding(eps: DataFrame, radius: int) -> DataFrame:

@@ -104,6 +104,8 @@ class Retrieval:
         self.state = staged(memory.state_at(self.fired, self.segmented, self.episodes, self.clustered.select("stream_id", "episode_ord", "event_ord"), self.events, c), "state")
         self.recent = memory.recent_at(self.state, windows, c.recent_capacity)
         self.episodic = memory.episodes_at(self.state, self.episodes)
+        if not c.cut_on_query:
+            self.episodic = self.episodic.unionByName(staged(memory.open_at(self.state, self.segmented, c), "open"))
         self.long_term = memory.events_at(self.state, self.events)
         self.span = staged(spans(self.recent, self.episodic, self.long_term), "span")
         self.recent_scored = scored(self.recent, self.span, F.array("visual_embedding"), c)
@@ -113,8 +115,7 @@ class Retrieval:
         self.coarse_hits = staged(coarse(self.events_scored, c.top_m), "coarse-hits")
         self.candidates = gated(self.episodic, self.coarse_hits, c.recent_episodes)
         self.episodic_hits = staged(ranked(scored(self.candidates, self.span, F.array("visual_embedding"), c), c.top_k, "place", "episode_ord"), "episodic-hits")
-        near = memory.rep_neighbours(self.episodes, c.neighbor_radius)
-        self.archive = self.episodic_hits.select(*Q, "rank", "episode_ord").join(near, ["stream_id", "episode_ord"])
+        self.archive = memory.rep_neighbours(self.episodic_hits, c.neighbor_radius, (*Q, "rank"))
         if not c.ground_archive:
             self.archive = self.archive.where("false")
         self.pinned = self.recent.where(F.col("window_ord") > F.col("fired_ord") - c.pin_n).withColumn("rank", F.row_number().over(Window.partitionBy(*Q).orderBy("window_ord")))
