@@ -62,7 +62,7 @@ SELECT doc_id, source, epoch, block, md5('{SEED}|' || source || '|' || epoch ||
 ORACLES["op9_sharding"] = f"""WITH RECURSIVE tab(i, v, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM tab WHERE k < 8),
 crc AS (SELECT list(v ORDER BY i) AS t FROM tab WHERE k = 8),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-r AS (SELECT doc_id, md5(text) AS key, strlen(text) + {OVERHEAD} AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(text), 2), lambda i: ('0x' || substr(hex(encode(text)), i, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM d, crc),
+r AS (SELECT doc_id, md5(text) AS key, strlen(text) + {OVERHEAD} AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM d, crc),
 p AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS run, sum(size) OVER ()::BIGINT AS total FROM r),
 s AS (SELECT *, least(39, ((2 * run - size) * 40) // (2 * total))::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s"""
