@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import EXTRA, KEY_BITS, NO_ID, PARTS, REPLY, count_rows, counted, each_block, n_buckets, opened, pack, parts, unzip, with_blocks, zip_
-from .common import MIX, drop_materialized, materialize, mixed, powers
+from .common import MIX, drop_materialized, materialize, mixed, powers, release
 
 LENGTH, SEED = 50, 20
 #: Starts of strings that are worked on at once.
@@ -359,4 +359,5 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     runs = materialize(with_blocks(blocks, replies, _entries(buckets), PARTS), "suffix-runs")
     drop_materialized(replies)
     answers = materialize(runs.where(f"kind = {REPLY}").groupBy("bucket").applyInArrow(_merge, PARTS), "suffix-answers")
+    release(blocks.sparkSession)
     return with_blocks(blocks, answers.union(runs.where(f"kind = {EXTRA}")), _spans, RESULT)
