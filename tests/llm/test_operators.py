@@ -129,6 +129,22 @@ def test_pii(spark, odd, none):
     assert pii.detect(odd).count() == len(ODD) and pii.detect(none).count() == 0
 
 
+def test_pii_on_long_runs():
+    """Runs of one character take time in proportion to their length, and no number is too long."""
+    import time
+
+    model, limits = pii.fitted()
+    n, begun = 100_000, time.perf_counter()
+    zeros = "0" * 5000 + ".1.1.1 " + "9" * 5000 + ".1.1.1"
+    assert pii.base_spans(zeros) == [(0, 1, 5006)]
+    for said in ("1" * n + " .", "1." * n, "-" * n + " at [", "a@" + "." * n, "a" * n + "@b", "+1" + " " * n, "a." * n + " [at] b", "1 " * n, "@" * n + ".", "<" + "a" * n + "@" + "b" * n + ".c"):
+        pii.added(said, pii.base_spans(said), model, limits)
+    assert time.perf_counter() - begun < 30
+    said = " ".join(f"user{i} [at] host [dot] com" for i in range(4000))
+    found = sorted(pii.added(said, [], model, limits))
+    assert len(found) > 3000 and all(a[2] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_pii_held_out_accuracy():
     model, limits = pii.fitted()
     import itertools

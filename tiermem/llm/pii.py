@@ -10,6 +10,7 @@ are judged each; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -33,13 +34,14 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 # fixed values: the base patterns
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# starting at a run of digits only and taking runs whole changes no match, but keeps long runs linear
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# generators: each proposes at every position where it matches, so spans may overlap
+# generators: each proposes at every position where it matches, so spans may overlap; bounded, as addresses are, so that no run of characters is walked anew from each place
 _GENERATORS = (
-    ("email", re.compile(r"(?<![^\s<>(\[\"',;:])(?=([^\s@<>()\[\]\"',;:]+@[^\s@<>()\[\]\"',;:]+\.[^\s@<>()\[\]\"',;:]*[^\s@<>()\[\]\"',;:.!?]))"), "@"),
-    ("email", re.compile(r"(?i)(?<!\w)(?=([\w.+-]+ ?[\[({] ?at ?[\])}] ?[\w-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[\w-]+)+))"), "at"),
+    ("email", re.compile(r"(?<![^\s<>(\[\"',;:])(?=([^\s@<>()\[\]\"',;:]{1,64}@[^\s@<>()\[\]\"',;:]{1,255}\.[^\s@<>()\[\]\"',;:]{0,63}[^\s@<>()\[\]\"',;:.!?]))"), "@"),
+    ("email", re.compile(r"(?i)(?<!\w)(?=([\w.+-]{1,64} ?[\[({] ?at ?[\])}] ?[\w-]{1,63}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[\w-]{1,63}){1,8}))"), "at"),
     ("ip", re.compile(r"(?<![0-9.])(?=([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]))"), "."),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?=((?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:]))"), ":"),
     ("card", re.compile(r"(?<![0-9])(?=([0-9]{12,19})(?![0-9]))"), ""),
@@ -80,7 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((start, 0, done := m.end()))
         at = text.find("@", max(at + 1, done))
     if "." in text:
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             d = m[0].replace(" ", "").replace("-", "")
@@ -183,12 +185,16 @@ def added(text: str, base: list[tuple[int, int, int]], model: Boosted, limits: t
     rows = sorted(set(rest))
     score = model.scores(np.array([features(text, *c) for c in rows]))
     out: list[tuple[int, int, int]] = []
-    taken: dict[int, list[tuple[int, int]]] = {}
+    taken: dict[int, list[tuple[int, int]]] = {}  # sorted and apart, for each kind
     for i in np.argsort(-score, kind="stable"):
         start, g, end = rows[i]
         kind = KINDS.index(_GENERATORS[g][0])
-        if score[i] >= limits[kind] and not any(s < end and start < e for s, e in taken.get(kind, ())):
-            taken.setdefault(kind, []).append((start, end))
+        if score[i] < limits[kind]:
+            continue
+        mine = taken.setdefault(kind, [])
+        k = bisect.bisect_left(mine, (start, end))
+        if not (k and mine[k - 1][1] > start) and not (k < len(mine) and mine[k][0] < end):
+            mine.insert(k, (start, end))
             out.append((start, kind, end))
     return out
 
