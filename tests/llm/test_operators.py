@@ -273,6 +273,20 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mix(odd).select("doc_id").distinct().count() == len({d for d, *_ in ODD})
 
 
+def test_mixing_without_tokens(spark):
+    for rows in ([(None, None, None)] * 3, [(1, "", "a"), (2, None, "a"), (3, " ", None)]):
+        got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+        assert len(got) == 3 and all(r._m_weight == 0 and r._m_epoch == 0 for r in got)
+
+
+def test_all_null_rows(spark):
+    """Every operator on documents takes rows of nulls only, and gives a row for each."""
+    rows = spark.createDataFrame([(None, None, None)] * 3, DOCS)
+    bench = spark.createDataFrame([(None, None)], "item_id long, text string")
+    for made in (suffixes.dedup(rows), pii.detect(rows), jaccard.join(rows), secrets.scan(rows), quality.judged(rows), decontaminate.matched(rows, bench), sharding.shard(rows)):
+        assert made.count() == 3
+
+
 def test_mixing_bisection_meets_entropy(spark):
     import math
 
@@ -318,6 +332,14 @@ def test_chat(spark):
     assert got[3].loss_chars == 5000 and chat.digests(chat.render(chat.fold(chat.log_of(df.where("false"))))).count() == 0
 
 
+def test_chat_fold_of_broken_logs(spark):
+    log = [(1, 0, 1, 0, "delta", None, "x"), (1, 1, 1, 0, None, None, "y"), (None, None, None, None, "edit", "u", "t"), (2, 0, 1, 0, "start", "user", None), (2, 0, 1, 1, "start", "assistant", None)]
+    df = spark.createDataFrame(log, "conv_id long, msg long, copy int, seq int, kind string, role string, text string")
+    got = chat.fold(df)
+    assert {(r.conv_id, r.msg): (r.role, r.text) for r in got.collect()} == {(1, 0): ("", "x"), (1, 1): ("", ""), (None, None): ("", ""), (2, 0): ("assistant", "")}
+    assert chat.digests(chat.render(got)).count() == 3
+
+
 def test_chat_fold_of_edits_and_regenerations(spark):
     log = [(1, 0, 1, 0, "start", "assistant", None), (1, 0, 1, 1, "delta", None, "bad "), (1, 0, 1, 2, "delta", None, "draft"), (1, 0, 1, 3, "regenerate", None, None), (1, 0, 1, 5, "delta", None, "swer"), (1, 0, 1, 4, "delta", None, "an"), (1, 1, 1, 0, "start", "user", None), (1, 1, 1, 1, "delta", None, "typo"), (1, 1, 1, 2, "edit", None, "fixed"), (1, 1, 1, 3, "delta", None, "!")]
     df = spark.createDataFrame(log, "conv_id long, msg long, copy int, seq int, kind string, role string, text string")

@@ -9,7 +9,8 @@ Template: <|im_start|>ROLE\\nTEXT<|im_end|>\\n for each message. Inside texts ea
 so no text can hold a control string, and taking one backslash away gives the text back.
 
 Defined cases: null role or text counts as empty; rows with equal conv_id and turn are messages of their own, ordered by role and text; null turn
-comes first; null conv_id is a conversation; an empty table gives no rows; other columns are ignored."""
+comes first; null conv_id is a conversation; a message without a start has an empty role, one with several the last; events of null kind, and deltas
+and edits of null seq, are left out; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -57,7 +58,7 @@ def fold(log: DataFrame) -> DataFrame:
         log.groupBy("conv_id", "msg", "copy")
         .agg(steps.alias("steps"))
         .withColumn("reset", F.expr(last))
-        .select("conv_id", "msg", "copy", F.expr("coalesce(element_at(transform(filter(steps, e -> e.kind = 'start'), e -> e.role), -1), '')").alias("role"), F.expr("array_join(transform(filter(steps, e -> (e.seq > reset and e.kind = 'delta') or (e.seq = reset and e.kind = 'edit')), e -> e.text), '')").alias("text"))
+        .select("conv_id", "msg", "copy", F.expr("coalesce(try_element_at(transform(filter(steps, e -> e.kind = 'start'), e -> e.role), -1), '')").alias("role"), F.expr("array_join(transform(filter(steps, e -> (e.seq > reset and e.kind = 'delta') or (e.seq = reset and e.kind = 'edit')), e -> e.text), '')").alias("text"))
     )
 
 

@@ -7,7 +7,7 @@ documents (by md5 of seed, pass and doc_id) cut into blocks by the leading hex d
 source's budget is used up. Blocks of all sources are then permuted by mix_key.
 
 Defined cases: a null text has no tokens; a null source is a source; a null doc_id is ordered as an empty string; rows of equal doc_id and source go
-through the same passes; a source without tokens is read once; an empty table gives no rows; clashing names do no harm, as inner columns are named _m_*."""
+through the same passes; a source without tokens is read once and weighs 0, also where no source has any; an empty table gives no rows; clashing names do no harm, as inner columns are named _m_*."""
 
 from __future__ import annotations
 
@@ -74,7 +74,7 @@ def plan(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, entropy: float
     one = Window.partitionBy()
     epochs = F.when(some, F.col("_m_top") / F.pow("_m_tokens", F.lit(1 - a))).otherwise(F.lit(1.0))  # (p_max / p)**(1 - a)
     shares = shares.crossJoin(F.broadcast(total)).withColumn("_m_epochs", F.round(epochs, 9))
-    shares = shares.withColumn("_m_weight", F.col("_m_tokens") * F.col("_m_epochs") / F.sum(F.col("_m_tokens") * F.col("_m_epochs")).over(one)).withColumn("_m_full", F.floor("_m_epochs").cast("long"))
+    shares = shares.withColumn("_m_weight", F.coalesce(F.try_divide(F.col("_m_tokens") * F.col("_m_epochs"), F.sum(F.col("_m_tokens") * F.col("_m_epochs")).over(one)), F.lit(0.0))).withColumn("_m_full", F.floor("_m_epochs").cast("long"))
     shares = shares.withColumn("_m_rest", F.floor((F.col("_m_epochs") - F.col("_m_full")) * F.col("_m_tokens")).cast("long"))
     # where the partial pass ends: blocks first, then the documents of the one block in which the budget runs out
     partial = rows.join(shares.where("_m_rest > 0"), rows["source"].eqNullSafe(shares["_m_source"])).withColumn("_m_key", order_key(F.col("_m_full")))
