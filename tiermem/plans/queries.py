@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text, vector
 from ..operators import baseline, evaluation, evidence, memory, retrieval, store, windowing
@@ -100,9 +101,16 @@ def vec_softmax_weights(spark, d):
 
 @query
 def vec_max_similarity(spark, d):
+    """Each embedding against its label's representatives: the n_rep_windows members most like the label's centroid, chosen over the whole table.
+
+    Ranks are cut within each task before rows are exchanged, so no label's rows meet in one."""
     e = fixtures.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    reps = e.where("vec_id < 20").groupBy("label").agg(F.collect_list("v").alias("reps"))
-    return e.join(reps, "label").select("vec_id", r6(vector.max_similarity(F.col("v"), F.col("reps"))).alias("best"))
+    m = e.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    c = m.groupBy(F.col("label").alias("of")).agg(F.sort_array(F.collect_list(F.struct("pos", "x")))["x"].alias("c"))
+    near = e.join(c, F.col("label").eqNullSafe(F.col("of"))).select("of", "vec_id", "v", F.round(vector.cosine(F.col("v"), F.col("c")), 9).alias("near"))
+    first = Window.partitionBy("of").orderBy(F.col("near").desc(), "vec_id")
+    reps = near.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= CONFIG.n_rep_windows).groupBy("of").agg(F.collect_list("v").alias("reps"))
+    return e.join(reps, F.col("label").eqNullSafe(F.col("of")), "left").select("vec_id", r6(vector.max_similarity(F.col("v"), F.col("reps"))).alias("best"))
 
 
 # text and time; inputs are inline or made from the tables
