@@ -20,9 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs).where("_q_kept").select(*docs.columns)
 
 
+#: Words of a shingle, and the least Jaccard similarity of near-duplicates in percent.
+NEAR_NGRAM, NEAR_PERCENT = 5, 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links lead through, the document of the smallest id stays, once. Rows without an id stay."""
-    first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = jaccard.join(docs, ngram=NEAR_NGRAM, percent=NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_p_text", F.xxhash64("text"))
     once = F.row_number().over(Window.partitionBy("doc_id", "_p_text").orderBy("_p_text"))
     kept = kept.withColumn("_p_once", once).where("_p_once = 1")

@@ -1,11 +1,11 @@
 """N-gram Jaccard join as a blocked sparse matrix product of documents by n-gram incidence.
 
-Words are runs of bytes that are no whitespace, with A-Z lowered. A document's set is its distinct NGRAM-word shingles; with fewer words the whole
-sequence is the only one. Two documents link when PERCENT * union <= 100 * intersection.
+Words are runs of bytes that are no whitespace, with A-Z lowered. A document's set is its distinct shingles of ngram words; with fewer words the whole
+sequence is the only one. Two documents link when percent * union <= 100 * intersection. NGRAM and PERCENT are what holds unless given.
 
 1. Equal sets are one class; the rest of the work is on one document of each class.
 2. Size-derived bounds name the rows and columns of the product that can hold a link. Two sets of a and b shingles that link have at least
-   ceil(PERCENT * max(a, b) / 100) in common, so with shingles ordered by hash, the first a - ceil(PERCENT * a / 100) + a / 5 of them hold the
+   ceil(percent * max(a, b) / 100) in common, so with shingles ordered by hash, the first a - ceil(percent * a / 100) + a / 5 of them hold the
    first min(a, b) / 5 common ones. How many documents hold each of those is counted over all documents; ordered anew from rare to common,
    the same bound leaves a few of them, of which at least one must be shared.
 3. Documents that share one are brought together, as components of that relation; a component beyond BLOCK documents is cut into sub-blocks by
@@ -77,18 +77,18 @@ def least_common(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def first_look(n: int) -> int:
-    return min(n, n - least_common(n) + -(-n // EXTRA_SHARE))
+def first_look(n: int, percent: int = PERCENT) -> int:
+    return min(n, n - least_common(n, percent) + -(-n // EXTRA_SHARE))
 
 
-def shared_there(n: int) -> int:
+def shared_there(n: int, percent: int = PERCENT) -> int:
     """What the first looks of a set of n and of any that links share at least."""
-    return max(1, -(-least_common(n) // EXTRA_SHARE))
+    return max(1, -(-least_common(n, percent) // EXTRA_SHARE))
 
 
-def _looked(sets: list[np.ndarray], chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _looked(sets: list[np.ndarray], chosen: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """48-bit keys that the chosen sets are looked up by (hashed anew, as the first look takes small hashes), and whose they are."""
-    keys = [np.unique(mixed(s[: first_look(len(s))] ^ MIX) >> _TOP) for s in (sets[i] for i in chosen)]
+    keys = [np.unique(mixed(s[: first_look(len(s), percent)] ^ MIX) >> _TOP) for s in (sets[i] for i in chosen)]
     return (np.concatenate(keys), np.repeat(np.array(chosen), [len(k) for k in keys])) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -108,12 +108,12 @@ def _distinct(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> list[
     return list(seen.values())
 
 
-def _count(buckets: int):
+def _count(buckets: int, ngram: int, percent: int):
     def work(block: int, row: dict) -> Iterator[pa.RecordBatch]:
         ids, at, raw = opened(row)
-        sets = shingle_sets(raw, at)
+        sets = shingle_sets(raw, at, ngram)
         one, two = _signatures(sets)
-        keys, _ = _looked(sets, _distinct(sets, one, two))
+        keys, _ = _looked(sets, _distinct(sets, one, two), percent)
         names, counts = np.unique(keys, return_counts=True)
         sizes = np.array([len(s) for s in sets], np.int64)
         yield parts([(block, EXTRA, -1, zip_(b"".join(x.tobytes() for x in (ids, one, two, sizes)))), *count_rows(block, names, counts, buckets)])
@@ -132,22 +132,22 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), *map(pa.array, (key, one, two, n))], names=["doc_id", "key", "sig1", "sig2", "n"])
 
 
-def _candidates(buckets: int):
+def _candidates(buckets: int, ngram: int, percent: int):
     def work(block: int, row: dict, got: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         firsts = [x.split(":") for kind, _, d in got if kind == EXTRA for x in d.decode().split(",")]
         weight = {int(i): int(n) for i, n in firsts}
         if not weight:
             return
         _, at, raw = opened(row)
-        sets = shingle_sets(raw, at)
-        keys, _ = _looked(sets, _distinct(sets, *_signatures(sets)))
+        sets = shingle_sets(raw, at, ngram)
+        keys, _ = _looked(sets, _distinct(sets, *_signatures(sets)), percent)
         names = np.unique(keys)
         df = np.concatenate([np.frombuffer(unzip(d), np.uint16) for kind, _, d in got if kind == REPLY]).astype(np.uint64)
         tokens, owners = [], []
         for i in sorted(weight):
-            k, _ = _looked(sets, [i])
+            k, _ = _looked(sets, [i], percent)
             n, d = len(sets[i]), df[np.searchsorted(names, k)]
-            most = shared_there(n)
+            most = shared_there(n, percent)
             if (d > 1).sum() < most:
                 continue
             order = np.sort((d << KEY_BITS) | k)[: len(k) - most + 1]
@@ -256,42 +256,45 @@ def product_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray
     return root, links
 
 
-def _product(table: pa.Table) -> pa.Table:
-    """One task: the components of one bin, or one pair of sub-blocks of a component."""
-    table = table.sort_by([("component", "ascending"), ("key", "ascending")])
-    comp, key, side, whole = (table.column(c).to_numpy() for c in ("component", "key", "side", "pair"))
-    data = table.column("data").to_pylist()
-    cut = np.flatnonzero(np.append(True, comp[1:] != comp[:-1])).tolist() + [len(comp)]
-    roots, links = [], []
-    for a, b in zip(cut, cut[1:], strict=False):
-        sets = [np.frombuffer(d, np.uint64, offset=8) for d in data[a:b]]
-        weights = np.array([int.from_bytes(d[:8], "little") for d in data[a:b]], np.int64)
-        if b - a == 1:
-            root, n = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        elif b - a == 2 and whole[a] == 0:
-            x, y = sets
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            tied = 100 * common >= PERCENT * (len(x) + len(y) - common)
-            root, n = np.array([0, 0 if tied else 1]), weights[::-1] * tied
-        else:
-            root, n = product_links(sets, weights, side[a:b] if whole[a] == 2 else None)
-        roots.append(key[a:b][root])
-        links.append(n)
-    return pa.table({"key": key, "component": comp, "root": np.concatenate(roots), "links": np.concatenate(links), "split": whole > 0})
-
-
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _product(percent: int):
+    def work(table: pa.Table) -> pa.Table:
+        """One task: the components of one bin, or one pair of sub-blocks of a component."""
+        table = table.sort_by([("component", "ascending"), ("key", "ascending")])
+        comp, key, side, whole = (table.column(c).to_numpy() for c in ("component", "key", "side", "pair"))
+        data = table.column("data").to_pylist()
+        cut = np.flatnonzero(np.append(True, comp[1:] != comp[:-1])).tolist() + [len(comp)]
+        roots, links = [], []
+        for a, b in zip(cut, cut[1:], strict=False):
+            sets = [np.frombuffer(d, np.uint64, offset=8) for d in data[a:b]]
+            weights = np.array([int.from_bytes(d[:8], "little") for d in data[a:b]], np.int64)
+            if b - a == 1:
+                root, n = np.zeros(1, np.int64), np.zeros(1, np.int64)
+            elif b - a == 2 and whole[a] == 0:
+                x, y = sets
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                tied = 100 * common >= percent * (len(x) + len(y) - common)
+                root, n = np.array([0, 0 if tied else 1]), weights[::-1] * tied
+            else:
+                root, n = product_links(sets, weights, side[a:b] if whole[a] == 2 else None, percent)
+            roots.append(key[a:b][root])
+            links.append(n)
+        return pa.table({"key": key, "component": comp, "root": np.concatenate(roots), "links": np.concatenate(links), "split": whole > 0})
+
+    return work
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (documents that it links with, copies of its own set included) of every document."""
     blocks = pack(docs, doc_id, text)
     buckets = n_buckets(blocks)
-    found = materialize(each_block(blocks, _count(buckets), PARTS), "jaccard-count")
+    found = materialize(each_block(blocks, _count(buckets, ngram, percent), PARTS), "jaccard-count")
     replies = counted(found.where(f"kind = {REPLY}"))
     rows = materialize(found.where(f"kind = {EXTRA}").select("block", "data").mapInArrow(_documents, DOCS), "jaccard-docs")
     classes = rows.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes, "jaccard-classes")
     firsts = classes.select(F.shiftright("rep", IDX_BITS).alias("block"), F.concat_ws(":", F.col("rep").bitwiseAND((1 << IDX_BITS) - 1), "copies").alias("one"))
     firsts = firsts.groupBy("block").agg(F.encode(F.array_join(F.collect_list("one"), ","), "utf-8").alias("data")).select("block", F.lit(EXTRA).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "data")
-    made = materialize(with_blocks(blocks, replies.union(firsts), _candidates(buckets), PARTS), "jaccard-made")
+    made = materialize(with_blocks(blocks, replies.union(firsts), _candidates(buckets, ngram, percent), PARTS), "jaccard-made")
     edges = made.where(f"kind = {EDGES}").select("data").mapInArrow(_edges, "a long, b long").union(made.where(f"kind = {REPLY}").groupBy("bucket").applyInArrow(_met, "a long, b long"))
     drop_materialized(blocks)
     groups = materialize(components(edges, "jaccard-cc"), "jaccard-groups")
@@ -307,7 +310,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     pair = F.when(F.col("m") <= BLOCK, 0).when(F.col("side") == F.col("other"), 1).otherwise(2)
     task = F.when(F.col("m") <= min(SMALL, BLOCK), F.concat(F.lit("bin"), F.pmod(F.xxhash64("component"), F.lit(bins)))).otherwise(F.concat_ws("-", F.col("component"), F.least("side", "other"), F.greatest("side", "other")))
     tasks = placed.select(task.alias("task"), "component", "key", "side", pair.alias("pair"), "data")
-    out = materialize(tasks.groupBy("task").applyInArrow(_product, "key long, component long, root long, links long, split boolean"), "jaccard-links")
+    out = materialize(tasks.groupBy("task").applyInArrow(_product(percent), "key long, component long, root long, links long, split boolean"), "jaccard-links")
     drop_materialized(made)
     roots = out.groupBy("key").agg(F.min("root").alias("root"), F.sum("links").alias("links"), F.max("split").alias("split"))
     if out.where("split").limit(1).count():
