@@ -25,12 +25,17 @@ NEAR_NGRAM, NEAR_PERCENT = 5, 80
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links lead through, the document of the smallest id stays, once. Rows without an id stay."""
-    first = jaccard.join(docs, ngram=NEAR_NGRAM, percent=NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_p_text", F.xxhash64("text"))
-    once = F.row_number().over(Window.partitionBy("doc_id", "_p_text").orderBy("_p_text"))
-    kept = kept.withColumn("_p_once", once).where("_p_once = 1")
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    """Of each group that links lead through, one document stays, once: that of the smallest id, or any one where none has an id.
+
+    Decisions go by a hash of id and text, so that rows without an id take part. Rows without an id and without words link with nothing and all stay."""
+    keyed = docs.withColumn("_p_key", F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()))
+    linked = jaccard.join(keyed, "_p_key", ngram=NEAR_NGRAM, percent=NEAR_PERCENT).select(F.col("doc_id").alias("_p_key"), F.col("component_id").alias("_p_group"), (F.col("n_shingles") == 0).alias("_p_bare"))
+    rows = linked.distinct().join(keyed.select("_p_key", F.col("doc_id").alias("_p_id")).distinct(), "_p_key")
+    first = rows.groupBy("_p_group").agg(F.min(F.struct(F.col("_p_id").isNull().alias("none"), "_p_id", "_p_key", "_p_bare")).alias("_p_first"))
+    kept = keyed.join(first.select("_p_first._p_key", "_p_first._p_bare"), "_p_key")
+    once = F.row_number().over(Window.partitionBy("_p_key").orderBy("_p_key"))
+    kept = kept.withColumn("_p_once", once).where("_p_once = 1 or (_p_bare and doc_id is null)")
+    return kept.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

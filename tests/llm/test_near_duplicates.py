@@ -61,3 +61,14 @@ def test_bounds_hold_at_other_thresholds():
         for n in range(1, 400):
             assert jaccard.least_common(n, percent) == -(-percent * n // 100) and 1 <= jaccard.first_look(n, percent) <= n
             assert jaccard.shared_there(n, percent) <= jaccard.first_look(n, percent)
+
+
+def test_rows_without_an_id(spark):
+    """Copies without an id go where one with an id is linked with, and else one of each group stays."""
+    a, b, c = (" ".join(_words(60)) for _ in range(3))
+    near = lambda t: " ".join(t.split(" ")[:-2] + ["p", "q"])
+    rows = [(5, a), (None, a), (None, near(a)), (None, b), (None, b), (None, near(b)), (None, c), (7, near(c)), (8, c), (8, c), (None, None), (None, None), (None, ""), (9, None), (9, None), (10, "")]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame([(*r, "s") for r in rows], DOCS), "").collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [5, 7, 9, 10]
+    unnamed = [r.text for r in got if r.doc_id is None]
+    assert len([t for t in unnamed if t]) == 1 and {t for t in unnamed if t} <= {b, near(b)} and len([t for t in unnamed if not t]) == 3
