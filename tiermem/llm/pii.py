@@ -38,10 +38,53 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# generators: each proposes at every position where it matches, so spans may overlap; bounded, as addresses are, so that no run of characters is walked anew from each place
+# characters of a loose address, and of what may stand before one
+_LOOSE = re.compile(r"[^\s@<>()\[\]\"',;:]++")
+_NOT_LOOSE = re.compile(r"[\s@<>()\[\]\"',;:]")
+_BEFORE = re.compile(r"[\s<(\[\"',;:]")
+_AT = re.compile(r"(?i)[\[({] ?at ?[\])}]")
+_HOST = (re.compile(r"(?i) ?+[\w-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[\w-]++)++"), re.compile(r"(?i) ?+[\w-]++(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[\w-]++)++"))
+
+
+def _loose_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of address characters to both sides of an at sign, the right one with a dot in it. No run is walked from more than two signs."""
+    low = 0
+    at = text.find("@")
+    while at >= 0:
+        cut = max((m.end() for m in _NOT_LOOSE.finditer(text, low, at)), default=low)
+        right = _LOOSE.match(text, at + 1)
+        if cut < at and right and (not cut or _BEFORE.match(text, cut - 1)):
+            host = right[0].rstrip(".!?")
+            if host.find(".", 1) > 0:
+                yield cut, at + 1 + len(host)
+        low = at + 1
+        at = text.find("@", low)
+
+
+def _told_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a bracketed at: from the word before (with and without its leading marks) to the end of the host, dots with or without spaces."""
+    low = 0
+    for m in _AT.finditer(text):
+        end = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        name = _word_back(text[low:end])
+        low = m.end()
+        starts = {end - len(name), end - len(name.lstrip(".+-"))} if name.strip(".+-") else set()
+        for stop in {h.end() for rx in _HOST if (h := rx.match(text, m.end()))} if starts else ():
+            yield from ((start, stop) for start in starts)
+
+
+def _word_back(head: str) -> str:
+    """The run of word characters, dots, plus signs and hyphens that head ends with."""
+    k = len(head)
+    while k and (head[k - 1].isalnum() or head[k - 1] in "_.+-"):
+        k -= 1
+    return head[k:]
+
+
+# generators: each proposes at every position where it matches, so spans may overlap. Numbers have the lengths of their formats; addresses have none
 _GENERATORS = (
-    ("email", re.compile(r"(?<![^\s<>(\[\"',;:])(?=([^\s@<>()\[\]\"',;:]{1,64}@[^\s@<>()\[\]\"',;:]{1,255}\.[^\s@<>()\[\]\"',;:]{0,63}[^\s@<>()\[\]\"',;:.!?]))"), "@"),
-    ("email", re.compile(r"(?i)(?<!\w)(?=([\w.+-]{1,64} ?[\[({] ?at ?[\])}] ?[\w-]{1,63}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[\w-]{1,63}){1,8}))"), "at"),
+    ("email", _loose_addresses, "@"),
+    ("email", _told_addresses, ""),
     ("ip", re.compile(r"(?<![0-9.])(?=([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]))"), "."),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?=((?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:]))"), ":"),
     ("card", re.compile(r"(?<![0-9])(?=([0-9]{12,19})(?![0-9]))"), ""),
@@ -95,7 +138,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, generator, end) of what the generators propose."""
-    return [(m.start(1), g, m.end(1)) for g, (_, rx, need) in enumerate(_GENERATORS) if need in text for m in rx.finditer(text) if m.end(1) > m.start(1)]
+    out = []
+    for g, (_, made, need) in enumerate(_GENERATORS):
+        if need in text:
+            out += [(s, g, e) for s, e in (made(text) if callable(made) else (m.span(1) for m in made.finditer(text))) if e > s]
+    return out
 
 
 def features(text: str, start: int, g: int, end: int) -> list[float]:
