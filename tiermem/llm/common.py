@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where it is unset, as in local tests."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = "file:///tmp/checkpoints/tiermem"
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
@@ -38,12 +40,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors. by: a column that names folders."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    release(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tm_path = path
     return out
