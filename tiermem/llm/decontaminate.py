@@ -1,17 +1,21 @@
 """Benchmark decontamination by pigeonhole edit matching: an item is split into error-budget-plus-one pieces, so that any passage within the budget
 holds one of them unchanged; exact piece hits are verified with Myers' bit-parallel edit distance against the text around them.
 
-Texts and items are compared with A-Z lowered and runs of whitespace as one space. The budget is MAX_ERROR of an item's length, and every piece
-has MIN_PIECE characters at least, so short items get a smaller budget.
+Texts and items are compared with A-Z lowered and runs of whitespace as one space. The budget is MAX_ERROR of an item's length, and the pieces of an
+item of MIN_PIECE characters or more have MIN_PIECE at least, so short items get a smaller budget. An item below MIN_PIECE characters matches without
+errors only, and only as whole words: no letter or digit stands at either end of it.
 
-The items are a stated query set: they are sent to tasks in blocks of BLOCK_ITEMS items (and at most BLOCK_CHARS characters), one pass over the
-documents for each block, so what is sent is bounded however many items there are.
+The items are a stated query set, taken in blocks of BLOCK_ITEMS items (and at most BLOCK_CHARS characters). One block is sent at a time: with more
+than one, each has a pass of its own over the documents, whose hits are written before the next begins. So what tasks hold is bounded however many
+items there are, and only the time grows with them.
 
 Defined cases: null and empty texts match nothing; null, empty and all-space items match nothing; items that repeat each count; texts of any length
 are searched whole; repeated documents each get a row; empty tables give no rows or no hits; other columns are ignored."""
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MAX_ERROR = 0.08
 MIN_PIECE = 12
 BLOCK_ITEMS, BLOCK_CHARS = 2000, 4_000_000
@@ -111,6 +117,10 @@ class Matcher:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
+            if m < MIN_PIECE:
+                if any(not text[a - 1 : a].isalnum() and not text[b : b + 1].isalnum() for a, b in near):
+                    out.append((self.ids[i], 0))
+                continue
             for a, b in merged:
                 part = text[a:b]
                 d = 0 if self.items[i] in part else best_distance(self.masks[i], m, part)
@@ -137,28 +147,43 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
         yield now
 
 
-def _with_hits(docs: DataFrame, items: list[tuple[int, str]], text: str) -> DataFrame:
-    """docs with _d_hits, the items of one block found in each."""
+_HITS = "array<struct<item:long,distance:int>>"
+
+
+def _with_hits(docs: DataFrame, text: str, keep: list[str], items: list[tuple[int, str]], sent=None) -> DataFrame:
+    """The columns keep of docs, and _d_hits, the items of one block found in each, sorted by item. The text crosses to Python once."""
     hit = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32())]))
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(items)  # at most BLOCK_ITEMS items
+    sent = sent or docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_ITEMS items
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
             out = []
             for start in range(0, batch.num_rows, 128):
-                out += [[{"item": i, "distance": d} for i, d in matcher.hits(t)] if t else [] for t in column.slice(start, 128).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, hit)], names=[*batch.schema.names[:-1], "_d_hits"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_d_hits array<struct<item:long,distance:int>>"]
-    return docs.withColumn("_d_text", F.col(text)).mapInArrow(run, ", ".join(fields))
-
-
-def matched(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", text: str = "text") -> DataFrame:
-    """docs with _d_hits: array of (item, distance), sorted by item."""
-    out = docs.withColumn("_d_all", F.expr("cast(array() as array<struct<item:long,distance:int>>)"))
-    for items in blocks(benchmark, item_id, item_text):
-        out = _with_hits(out, items, text).withColumn("_d_all", F.concat("_d_all", "_d_hits")).drop("_d_hits")
-    return out.withColumn("_d_hits", F.sort_array("_d_all")).drop("_d_all")
+                out += [[{"item": i, "distance": d} for i, d in matcher.hits(t)] if t else [] for t in batch.column(at).slice(start, 128).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, hit)], names=[*keep, "_d_hits"])
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"_d_hits {_HITS}"]
+    return docs.select(*[docs[c] for c in keep], *([] if text in keep else [docs[text]])).mapInArrow(run, ", ".join(fields))
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or the columns in keep) with _d_hits: array of (item, distance), sorted by item."""
+    keep = docs.columns if keep is None else keep
+    rest = blocks(benchmark, item_id, item_text)
+    first = next(rest, None)
+    if first is None:
+        return docs.select(*keep, F.expr(f"cast(array() as {_HITS})").alias("_d_hits"))
+    second = next(rest, None)
+    if second is None:
+        return _with_hits(docs, text, keep, first)
+    # several blocks: a pass for each over numbered rows, of which those with hits are written
+    rows = materialize(docs.select(*keep, *([] if text in keep else [docs[text]])).withColumn("_d_row", F.monotonically_increasing_id()), "decon-rows")
+    found = []
+    for items in itertools.chain((first, second), rest):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+        found.append(materialize(_with_hits(rows, text, ["_d_row"], items, sent).where("size(_d_hits) > 0"), "decon-hits"))
+        sent.destroy()
+    hits = functools.reduce(DataFrame.union, found).select("_d_row", F.explode("_d_hits").alias("h")).groupBy("_d_row").agg(F.sort_array(F.collect_list("h")).alias("_d_hits"))
+    return rows.join(hits, "_d_row", "left").select(*keep, F.coalesce("_d_hits", F.expr(f"cast(array() as {_HITS})")).alias("_d_hits"))

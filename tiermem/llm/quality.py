@@ -106,17 +106,17 @@ def measures(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns in keep) and the base figures as _q_* columns; one pass, no shuffle."""
+    """docs (or the columns in keep) and the base figures as _q_* columns; one pass, no shuffle. The text crosses to Python once."""
     keep = docs.columns if keep is None else keep
-    inner = docs.select(*[docs[c] for c in keep], docs[text].alias("_q_text"))
+    inner = docs.select(*[docs[c] for c in keep], *([] if text in keep else [docs[text]]))
+    at_text = keep.index(text) if text in keep else len(keep)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{k} {'boolean' if v == pa.bool_() else 'long'}" for k, v in METRICS.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "_q_text"):
-                raw, at = utf8(batch.column(batch.num_columns - 1))
-                got = measures(raw, at)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(got[k], v) for k, v in METRICS.items()]], names=[*batch.schema.names[:-1], *METRICS])
+            for batch in chunks(whole, text):
+                got = measures(*utf8(batch.column(at_text)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(got[k], v) for k, v in METRICS.items()]], names=[*keep, *METRICS])
 
     return inner.mapInArrow(run, ", ".join(fields))
 
