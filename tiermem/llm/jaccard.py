@@ -8,8 +8,9 @@ sequence is the only one. Two documents link when percent * union <= 100 * inter
    ceil(percent * max(a, b) / 100) in common, so with shingles ordered by hash, the first a - ceil(percent * a / 100) + a / 5 of them hold the
    first min(a, b) / 5 common ones. How many documents hold each of those is counted over all documents; ordered anew from rare to common,
    the same bound leaves a few of them, of which at least one must be shared.
-3. Documents that share one are brought together, as components of that relation; a component beyond BLOCK documents is cut into sub-blocks by
-   hash, and each pair of sub-blocks is a task, so no group is ever gathered whole.
+3. Documents that share one are brought together, as components of that relation. A component beyond BLOCK documents or BLOCK_SHINGLES shingles is cut:
+   into classes of set size, each wider than the threshold by factor, and classes into sub-blocks by hash, of half those bounds each. A pair of
+   sub-blocks is a task if their classes are the same or neighbours; others' sizes cannot reach the threshold. So no group is ever gathered whole.
 4. In a task the product of the incidence matrix with its transpose is accumulated for a block of rows at a time: common shingles as a dense product,
    rare ones by their postings. Pairs below the bound are dropped; links become a forest; forests of sub-blocks are joined to components.
 
@@ -20,21 +21,23 @@ their own; a null id takes part, and is the component's id only if all its ids a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .blocks import EXTRA, KEY_BITS, NO_ID, PARTS, REPLY, bucket_cuts, count_rows, counted, each_block, n_buckets, opened, pack, packed_run, parts, unpacked_run, unzip, with_blocks, zip_
-from .common import MIX, components, drop_materialized, materialize, mixed, word_hashes, words
+from .common import MIX, components, drop_materialized, materialize, mixed, release, word_hashes, words
 
 NGRAM, PERCENT = 4, 85
 #: One in so many shingles, besides those that the size bound asks for, are looked at first.
 EXTRA_SHARE = 5
-#: Documents of one task of the product.
-BLOCK = 4096
+#: Documents, and shingles of all its documents together, of one task of the product (but where one document alone has more).
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
 #: Components up to so many documents share tasks.
 SMALL = 64
 #: A shingle in more documents of a task than this is part of the dense product.
@@ -283,8 +286,30 @@ def _product(percent: int):
     return work
 
 
+def _tasks(nodes: DataFrame, bins: int, percent: int) -> DataFrame:
+    """key, component, task, side and pair (0: a whole component, 1: a sub-block by itself, 2: two sub-blocks) of every node (node, component, n), once for each of its tasks."""
+    # a hair wider than the threshold, so that rounding never puts sizes that may link two classes apart
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    nodes = nodes.select(F.col("node").alias("key"), "component", "n", size_class.cast("long").alias("c"))
+    by_class = nodes.groupBy("component", "c").agg(F.count("*").alias("m_c"), F.sum("n").alias("t_c"))
+    half = F.ceil(F.greatest(F.col("m_c") / F.lit(max(1, BLOCK // 2)), F.col("t_c") / F.lit(BLOCK_SHINGLES // 2))).cast("int")
+    one = Window.partitionBy("component")  # a row for each class: as many as a logarithm of the largest set
+    near = one.orderBy("c").rangeBetween
+    by_class = by_class.withColumn("m", F.sum("m_c").over(one)).withColumn("t", F.sum("t_c").over(one)).withColumn("k", half)
+    by_class = by_class.withColumn("below", F.coalesce(F.max("k").over(near(-1, -1)), F.lit(0))).withColumn("above", F.coalesce(F.max("k").over(near(1, 1)), F.lit(0))).select("component", "c", "m", "t", "k", "below", "above")
+    rows = nodes.join(by_class, ["component", "c"]).withColumn("whole", F.expr(f"m <= {BLOCK} and t <= {BLOCK_SHINGLES}"))
+    rows = rows.withColumn("s", F.when(F.col("whole"), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("k")).cast("int")))
+    others = F.expr("flatten(array(" + ", ".join(f"if({n} > 0, transform(sequence(0, {n} - 1), x -> struct(c + {d} as c, x as s)), array())" for n, d in (("below", -1), ("k", 0), ("above", 1))) + "))")
+    rows = rows.withColumn("o", F.explode(F.when(F.col("whole"), F.array(F.struct("c", "s"))).otherwise(others)))
+    pair = F.when(F.col("whole"), 0).when((F.col("o.c") == F.col("c")) & (F.col("o.s") == F.col("s")), 1).otherwise(2)
+    mine, other = F.concat_ws(".", "c", "s"), F.concat_ws(".", "o.c", "o.s")
+    task = F.when(F.col("whole") & (F.col("m") <= min(SMALL, BLOCK)), F.concat(F.lit("bin"), F.pmod(F.xxhash64("component"), F.lit(bins)))).when(F.col("whole"), F.col("component").cast("string")).otherwise(F.concat_ws("-", F.col("component"), F.least(mine, other), F.greatest(mine, other)))
+    return rows.select("key", "component", task.alias("task"), (F.col("c") * (1 << 24) + F.col("s")).alias("side"), pair.alias("pair"))
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (documents that it links with, copies of its own set included) of every document."""
+    spark = docs.sparkSession
     blocks = pack(docs, doc_id, text)
     buckets = n_buckets(blocks)
     found = materialize(each_block(blocks, _count(buckets, ngram, percent), PARTS), "jaccard-count")
@@ -294,24 +319,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int
     classes = materialize(classes, "jaccard-classes")
     firsts = classes.select(F.shiftright("rep", IDX_BITS).alias("block"), F.concat_ws(":", F.col("rep").bitwiseAND((1 << IDX_BITS) - 1), "copies").alias("one"))
     firsts = firsts.groupBy("block").agg(F.encode(F.array_join(F.collect_list("one"), ","), "utf-8").alias("data")).select("block", F.lit(EXTRA).alias("kind"), F.lit(-1).cast("long").alias("bucket"), "data")
+    release(spark)
     made = materialize(with_blocks(blocks, replies.union(firsts), _candidates(buckets, ngram, percent), PARTS), "jaccard-made")
     edges = made.where(f"kind = {EDGES}").select("data").mapInArrow(_edges, "a long, b long").union(made.where(f"kind = {REPLY}").groupBy("bucket").applyInArrow(_met, "a long, b long"))
     drop_materialized(blocks)
+    release(spark)
     groups = materialize(components(edges, "jaccard-cc"), "jaccard-groups")
     drop_materialized(found)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
     bins = max(8, buckets)
     sets = made.where(f"kind = {EXTRA}").select(F.col("bucket").alias("key"), "data")
+    plan = materialize(_tasks(groups.join(classes.select(F.col("rep").alias("node"), "n"), "node"), bins, percent), "jaccard-plan")
     # both sides grow with the input, so neither is broadcast at any size
-    placed = groups.join(sizes, "component").select(F.col("node").alias("key"), "component", "m").hint("merge").join(sets, "key")
-    k = F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
-    side = F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("key"), k).cast("int")).otherwise(F.lit(0))
-    placed = placed.withColumn("side", side).withColumn("other", F.explode(F.when(F.col("m") > BLOCK, F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.lit(0)))))
-    pair = F.when(F.col("m") <= BLOCK, 0).when(F.col("side") == F.col("other"), 1).otherwise(2)
-    task = F.when(F.col("m") <= min(SMALL, BLOCK), F.concat(F.lit("bin"), F.pmod(F.xxhash64("component"), F.lit(bins)))).otherwise(F.concat_ws("-", F.col("component"), F.least("side", "other"), F.greatest("side", "other")))
-    tasks = placed.select(task.alias("task"), "component", "key", "side", pair.alias("pair"), "data")
+    tasks = plan.hint("merge").join(sets, "key").select("task", "component", "key", "side", "pair", "data")
+    release(spark)
     out = materialize(tasks.groupBy("task").applyInArrow(_product(percent), "key long, component long, root long, links long, split boolean"), "jaccard-links")
-    drop_materialized(made)
+    drop_materialized(made, plan)
+    release(spark)
     roots = out.groupBy("key").agg(F.min("root").alias("root"), F.sum("links").alias("links"), F.max("split").alias("split"))
     if out.where("split").limit(1).count():
         across = components(out.where("split and key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")), "jaccard-across")
