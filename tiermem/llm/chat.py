@@ -1,8 +1,8 @@
 """Chat formatting by event-sourced reconstruction: a log of starts, streamed deltas, edits and regenerations is folded into final messages, then rendered.
 
 Log: conv_id, msg (order of the message in its conversation), copy, seq, kind, role, text. Kinds: "start" (sets the role), "delta" (appends text),
-"edit" (replaces the whole text), "regenerate" (drops what the message held; deltas that follow build the new text). The log is partitioned by
-message, so that a conversation of any length is spread over tasks; only digests, which are sequential by nature, walk a whole conversation,
+"edit" (replaces the whole text), "regenerate" (drops what the message held; deltas that follow build the new text). An event that is delivered again
+(equal in all columns) counts once; unlike deltas of one seq are appended in order of their text. The log is partitioned by message, so that a conversation of any length is spread over tasks; only digests, which are sequential by nature, walk a whole conversation,
 and they keep no more than the message at hand.
 
 Template: <|im_start|>ROLE\\nTEXT<|im_end|>\\n for each message. Inside texts each "<", any backslashes, "|" gets one more backslash after the "<",
@@ -28,6 +28,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 LEARNED = "assistant"
 #: Code points of one delta when whole messages are turned into a log.
 DELTA_CHARS = 4096
+#: Code points of a wrong draft.
+DRAFT_CHARS = 24
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
 
@@ -40,19 +42,32 @@ def unescaped(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text) if "<\\" in text else text
 
 
-def log_of(rows: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """The log that streaming the given messages (conv_id, turn, role, text) leaves: a start and the deltas of each."""
+def log_of(rows: DataFrame, delta_chars: int = DELTA_CHARS, revisions: bool = False) -> DataFrame:
+    """The log that streaming the given messages (conv_id, turn, role, text) leaves: a start and the deltas of each.
+
+    revisions: each message is begun wrongly first (DRAFT_CHARS characters, turned round); learned ones are then regenerated, the others edited into
+    their first delta's text, and the last event of every message is delivered twice. So the fold has to undo all of it."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     one = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("msg"), role.alias("role"), text.alias("text"))
     one = one.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "msg").orderBy("role", "text")))
-    deltas = F.expr(f"transform(sequence(0, cast((length(text) - 1) div {delta_chars} as int)), i -> struct(i + 1 as seq, 'delta' as kind, substring(text, i * {delta_chars} + 1, {delta_chars}) as text))")
-    events = F.concat(F.array(F.struct(F.lit(0).alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("text"))), deltas)
+    event = lambda seq, kind, said: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), said.alias("text"))
+    part = f"substring(text, i * {delta_chars} + 1, {delta_chars})"
+    deltas = lambda first: F.expr(f"transform(filter(sequence(0, cast((length(text) - 1) div {delta_chars} as int)), i -> i >= {first}), i -> struct(i + 3 as seq, 'delta' as kind, {part} as text))")
+    start = event(0, "start", F.lit(""))
+    if revisions:
+        draft = event(1, "delta", F.reverse(F.substring("text", 1, DRAFT_CHARS)))
+        again = F.concat(F.array(start, draft, event(2, "regenerate", F.lit(""))), deltas(0))
+        fixed = F.concat(F.array(start, draft, event(2, "edit", F.substring("text", 1, delta_chars))), deltas(1))
+        events = F.when(F.col("role") == LEARNED, again).otherwise(fixed)
+        events = F.concat(events, F.slice(events, -1, 1))
+    else:
+        events = F.concat(F.array(start), deltas(0))
     return one.select("conv_id", "msg", "copy", "role", F.explode(events).alias("e")).select("conv_id", "msg", "copy", "e.seq", "e.kind", F.when(F.col("e.kind") == "start", F.col("role")).alias("role"), "e.text")
 
 
 def fold(log: DataFrame) -> DataFrame:
     """conv_id, msg, copy, role, text of every message: what stands after its events in order of seq."""
-    steps = F.sort_array(F.collect_list(F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    steps = F.sort_array(F.collect_set(F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
     last = "coalesce(array_max(transform(filter(steps, e -> e.kind in ('edit', 'regenerate')), e -> e.seq)), -1)"
     return (
         log.groupBy("conv_id", "msg", "copy")

@@ -56,7 +56,7 @@ q AS (SELECT *, floor(epochs)::BIGINT AS whole, floor((epochs - floor(epochs)) *
 k AS (SELECT r.*, q.whole, q.rest, q.weight, sum(n) OVER (PARTITION BY source ORDER BY md5('{SEED}|' || source || '|' || doc_id || '|' || whole)) - n AS before FROM r JOIN q USING (source)),
 x AS (SELECT *, unnest(range(whole + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END)) AS epoch FROM k),
 y AS (SELECT *, ('0x' || substr(md5('{SEED}|' || source || '|' || doc_id || '|' || epoch), 1, {BLOCK_DIGITS}))::BIGINT AS block FROM x)
-SELECT doc_id, source, epoch, block, md5('{SEED}|' || source || '|' || epoch || '|' || block) AS mix_key, round(weight, 6) AS weight FROM y"""
+SELECT doc_id, source, epoch, block, md5('{SEED}|' || source || '|' || epoch || '|' || block) AS mix_key, md5('{SEED}|' || source || '|' || doc_id || '|' || epoch) AS doc_key, round(weight, 6) AS weight FROM y"""
 
 # CRC-32 by bytes: DuckDB has no function for it, so the table is made by its rule
 ORACLES["op9_sharding"] = f"""WITH RECURSIVE tab(i, v, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM tab WHERE k < 8),

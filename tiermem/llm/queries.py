@@ -44,14 +44,14 @@ def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hits = F.col("_d_hits")
     return found.select("doc_id", (F.size(hits) > 0).alias("contaminated"), F.size(hits).alias("n_items"), F.expr("array_join(transform(_d_hits, h -> concat(h.item, ':', h.distance)), ',')").alias("items"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.col("_m_epoch").alias("epoch"), F.col("_m_block").alias("block"), F.col("_m_key").alias("mix_key"), F.round("_m_weight", 6).alias("weight"))
+    return mixed.select("doc_id", "source", F.col("_m_epoch").alias("epoch"), F.col("_m_block").alias("block"), F.col("_m_key").alias("mix_key"), F.col("_m_order").alias("doc_key"), F.round("_m_weight", 6).alias("weight"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all conversations as they were streamed, with wrong drafts that are regenerated or edited, and events that come twice."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", INJECTED), (-1, 1, "assistant", INJECTED)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.render(chat.fold(chat.log_of(rows.union(more)))))
+    return chat.digests(chat.render(chat.fold(chat.log_of(rows.union(more), revisions=True))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
