@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each a function (spark, docs, sf_dir) whose result is written and read again as the next one's docs.
 
 All but the last return the columns of documents; the last returns the shard manifest. Repeated rows, nulls and empty texts are treated as the
-operators' docstrings say; what a stage drops is a document that its rule rejects, never a row to save work."""
+operators' docstrings say, of any length, and other columns do no harm; what a stage drops is a document that its rule rejects, never a row to save work."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tiermem.llm import decontaminate, jaccard, mixing, quality, sharding
-from tiermem.llm.common import materialize, table
+from tiermem.llm.common import materialize, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +27,16 @@ NEAR_NGRAM, NEAR_PERCENT = 5, 80
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links lead through, one document stays, once: that of the smallest id, or any one where none has an id.
 
-    Decisions go by a hash of id and text, so that rows without an id take part. Rows without an id and without words link with nothing and all stay."""
+    Decisions go by a hash of id and text, so unlike rows of one id are judged each (a group may lose one and another group keep the other), wholly
+    repeated rows stay once, and rows without an id take part. Rows without an id and without words link with nothing and all stay.
+    Repeated rows are dropped within each task before texts are exchanged, so that no number of copies meets in one."""
     keyed = docs.withColumn("_p_key", F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()))
-    linked = jaccard.join(keyed, "_p_key", ngram=NEAR_NGRAM, percent=NEAR_PERCENT).select(F.col("doc_id").alias("_p_key"), F.col("component_id").alias("_p_group"), (F.col("n_shingles") == 0).alias("_p_bare"))
+    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    linked = jaccard.join(keyed, "_p_key", ngram=NEAR_NGRAM, percent=NEAR_PERCENT).select(F.col("doc_id").alias("_p_key"), F.col("component_id").alias("_p_group"))
     rows = linked.distinct().join(keyed.select("_p_key", F.col("doc_id").alias("_p_id")).distinct(), "_p_key")
-    first = rows.groupBy("_p_group").agg(F.min(F.struct(F.col("_p_id").isNull().alias("none"), "_p_id", "_p_key", "_p_bare")).alias("_p_first"))
-    kept = keyed.join(first.select("_p_first._p_key", "_p_first._p_bare"), "_p_key")
-    once = F.row_number().over(Window.partitionBy("_p_key").orderBy("_p_key"))
-    kept = kept.withColumn("_p_once", once).where("_p_once = 1 or (_p_bare and doc_id is null)")
-    return kept.select(*docs.columns)
+    first = rows.groupBy("_p_group").agg(F.min(F.struct(F.col("_p_id").isNull().alias("none"), "_p_id", "_p_key")).alias("_p_first"))
+    once = keyed.where(~bare).dropDuplicates(["_p_key"]).join(first.select("_p_first._p_key"), "_p_key", "left_semi")
+    return once.select(*docs.columns).union(docs.where(bare))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +45,18 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix reads it, once at least."""
+    """Each document as often as the mix reads it, once at least. The rows of one document are alike: which is of which pass follows from their number."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row of the mix goes: shard and slot, with the document's columns but its text."""
-    return sharding.shard(docs, carry=("lang", "source", "n_chars"))
+    """Where each row of the mix goes: shard and slot, in the order of the mix (its blocks permuted over all sources and passes), with the document's
+    columns but its text. Passes are told apart by numbering alike rows, of which there are no more than the mix's repetition limit."""
+    alike = Window.partitionBy("doc_id", "source", "_p_text").orderBy("_p_row")
+    rows = docs.withColumn("_p_text", F.xxhash64("text")).withColumn("_p_row", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", "source", "_p_text", "lang", "n_chars", "_p_row", F.octet_length("text").alias("_p_bytes"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_p_crc"))
+    placed = mixing.placed(rows.withColumn("_p_pass", F.row_number().over(alike) - 1), F.col("_p_pass"))
+    return sharding.shard_sized(placed, F.concat("_m_key", "_m_order"), F.coalesce("_p_bytes", F.lit(0)), F.col("_p_crc"), carry=("lang", "source", "n_chars"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -70,4 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
