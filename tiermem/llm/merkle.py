@@ -102,9 +102,9 @@ def tree(records: DataFrame, key: str, payload: Column) -> Tree:
 
 
 def _unlike(a: DataFrame, b: DataFrame) -> DataFrame:
-    """node of those whose hash the other side lacks, and whether each side has the node at all."""
+    """node of those whose hash the other side lacks."""
     both = a.select("node", F.col("hash").alias("hash_a")).join(b.select("node", F.col("hash").alias("hash_b")), "node", "full")
-    return both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("node", F.col("hash_a").isNotNull().alias("in_a"), F.col("hash_b").isNotNull().alias("in_b"))
+    return both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("node")
 
 
 def _under(level: DataFrame, bad: DataFrame, levels: int) -> DataFrame:
@@ -144,7 +144,10 @@ def audit(first: Tree, second: Tree) -> DataFrame:
     splits = mine.groupBy("node", "split").agg(F.sum(size).alias("held")).select("node", "split", F.coalesce(F.sum("held").over(before("node").orderBy("split")), F.lit(0)).alias("split_start"))
     mine = mine.join(splits, ["node", "split"]).withColumn("inside", F.col("split_start") + F.coalesce(F.sum(size).over(before("node", "split").orderBy("hash")), F.lit(0)))
     both = mine.select("node", "hash", "inside", "bytes", F.col("copies").alias("n_a")).join(rows(second).select("node", "hash", F.col("bytes").alias("other_bytes"), F.col("copies").alias("n_b")), ["node", "hash"], "full").where(~F.col("n_a").eqNullSafe(F.col("n_b")))
-    both = both.join(wrong, "node")
+    both = both.join(wrong.select("node", "start"), "node")
+    # changed: under one key each side has a record that the other lacks
+    sides = both.groupBy("node").agg(F.max(F.col("n_a").isNotNull()).alias("in_a"), F.max(F.col("n_b").isNotNull()).alias("in_b"))
+    both = both.join(sides, "node")
     verdict = F.when(F.col("n_a").isNotNull() & F.col("n_b").isNotNull(), "copies").when(F.col("in_a") & F.col("in_b"), "changed").when(F.col("n_b").isNull(), "missing").otherwise("extra")
     return both.select(
         _above("node", DEPTH).alias("archive"), F.col("node").alias("key"), verdict.alias("verdict"), F.when(F.col("n_a").isNull(), "b").otherwise("a").alias("replica"),
