@@ -202,7 +202,7 @@ def test_run_and_sinks(spark, tmp_path):
     sinks.run_log(records, str(tmp_path / "log"))
     found = sinks.save_summary(spark, records, str(tmp_path))
     assert found["n_qas"] == records.count() and "paired" in (tmp_path / "summary.md").read_text()
-    blocks = evidence.text_block(evidence.described(r))
+    blocks = evidence.text_block(evidence.described(r), r.fired)
     sinks.trace(blocks, r.fired, str(tmp_path / "trace"))
     assert spark.read.text(str(tmp_path / "trace")).where("value like '## %'").count() == r.fired.count()
     assert "[Coarse: events]" in blocks.where("question_id = '1-4'").first().text

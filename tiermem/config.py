@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields, replace
 from typing import Any
 
 
+# fixed values: the parameters' defaults
 @dataclass(frozen=True)
 class Config:
     recent_capacity: int = 20
@@ -66,14 +67,15 @@ PRESETS: dict[str, Config] = {
 }
 
 
+# fixed values: names that configuration files use for some of the parameters above
+ALIASES = {"reasoner_max_frames": "max_frames", "include_coarse_text": "include_coarse", "include_episodic_text": "include_episodic", "ground_episodic_archive": "ground_archive"}
+
+
 def merged(raw: Mapping[str, Any], base: Config | None = None) -> Config:
-    """A nested mapping over defaults: memory, then retrieval, then reasoner, of which max_frames alone counts. Unknown keys are dropped."""
+    """A nested mapping over defaults: the sections memory, retrieval and reasoner, each over those before. Unknown keys are dropped."""
     known = {f.name for f in fields(Config)}
     flat: dict[str, Any] = {}
-    for part in ("memory", "retrieval"):
-        flat |= {k: v for k, v in dict(raw.get(part) or {}).items() if k in known}
-    reasoner = dict(raw.get("reasoner") or {})
-    flat |= {k: v for k, v in reasoner.items() if k in known}
-    if "max_frames" in reasoner:
-        flat["max_frames"] = reasoner["max_frames"]
+    for part in ("memory", "retrieval", "reasoner"):
+        named = {ALIASES.get(k, k): v for k, v in dict(raw.get(part) or {}).items()}
+        flat |= {k: v for k, v in named.items() if k in known}
     return replace(base or Config(), **flat)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -23,5 +23,15 @@ def top_k(fired: DataFrame, windows: DataFrame, config: Config) -> DataFrame:
     return ranked(rows, config.baseline_k, "window_ord")
 
 
+def described(fired: DataFrame, windows: DataFrame, config: Config) -> DataFrame:
+    """The baseline's evidence, as evidence.described() has it: the newest pin_n windows as pinned, in order of time, and the top hits as grounded,
+    also those that are pinned."""
+    cols = [*Q, "rank", F.col("window_id").alias("entry_id"), "start_time", "end_time", "summary_text", "visual_embedding"]
+    newest = Window.partitionBy(*Q).orderBy(F.col("window_ord").desc())
+    pins = context(fired, windows, config).withColumn("back", F.row_number().over(newest)).where(F.col("back") <= max(config.pin_n, 0))
+    pins = pins.withColumn("rank", F.row_number().over(Window.partitionBy(*Q).orderBy("window_ord"))).select(F.lit("pinned").alias("stage"), *cols, F.lit(None).cast("double").alias("score"))
+    return pins.unionByName(top_k(fired, windows, config).select(F.lit("grounded").alias("stage"), *cols, "score"))
+
+
 def stats(fired: DataFrame, windows: DataFrame, config: Config) -> DataFrame:
     return context(fired, windows, config).groupBy(*Q).agg(F.count("*").alias("recent"), F.lit(config.baseline_windows).alias("capacity"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.text import fixed
 from .retrieval import Q, Retrieval
 
@@ -17,18 +18,21 @@ ORDER = ("pinned", "coarse", "episodic", "grounded")
 
 
 def described(r: Retrieval) -> DataFrame:
-    """The hits with times, summary, vector and score, of the sections that the configuration includes."""
+    """The hits of all sections with times, summary, vector and score, and whether the configuration shows their section."""
     windows = r.windows.select("stream_id", "window_id", "start_time", "end_time", "summary_text", "visual_embedding")
     recent = r.recent_hits.select(*Q, "window_id", "score")
     ground = r.grounded.join(recent, [*Q, "window_id"], "left").join(windows, ["stream_id", "window_id"])
     cols = lambda stage, i: [*Q, F.lit(stage).alias("stage"), "rank", F.col(i).alias("entry_id"), "start_time", "end_time", "summary_text", "visual_embedding"]
     parts = [r.pinned.select(*cols("pinned", "window_id"), F.lit(None).cast("double").alias("score"))]
-    if r.config.include_coarse:
-        parts.append(r.coarse_hits.select(*cols("coarse", "event_id"), "score"))
-    if r.config.include_episodic:
-        parts.append(r.episodic_hits.select(*cols("episodic", "episode_id"), "score"))
+    parts.append(r.coarse_hits.select(*cols("coarse", "event_id"), "score"))
+    parts.append(r.episodic_hits.select(*cols("episodic", "episode_id"), "score"))
     parts.append(ground.select(*cols("grounded", "window_id"), "score"))
-    return reduce(DataFrame.union, parts)
+    return shown(reduce(DataFrame.union, parts), r.config)
+
+
+def shown(rows: DataFrame, config: Config) -> DataFrame:
+    hidden = [s for s, on in (("coarse", config.include_coarse), ("episodic", config.include_episodic)) if not on]
+    return rows.withColumn("shown", ~F.col("stage").isin(*hidden) if hidden else F.lit(True))
 
 
 def line() -> Column:
@@ -38,27 +42,40 @@ def line() -> Column:
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    return rows.select(*Q, "stage", "rank", line().alias("line"))
+    return rows.where("shown").select(*Q, "stage", "rank", line().alias("line"))
 
 
-def text_block(rows: DataFrame, question: str = "question") -> DataFrame:
-    """Q, question and text: a heading and the lines of each section that has any, in order of sections and ranks."""
+def text_block(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Q and text for every question (columns Q, question): the question, then a heading and the lines of each shown section that has any, in order of
+    sections and ranks. A question without hits has a block too."""
     place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("stage"))
     heading = F.element_at(F.create_map(*[F.lit(x) for k in ORDER for x in (k, SECTIONS[k])]), F.col("stage"))
-    body = rows.groupBy(*Q, "stage").agg(F.sort_array(F.collect_list(F.struct("rank", line().alias("line")))).alias("x")).select(*Q, F.struct(place.alias("p"), F.concat(F.lit("\n"), heading, F.lit("\n"), F.array_join(F.col("x.line"), "\n")).alias("t")).alias("s"))
+    body = rows.where("shown").groupBy(*Q, "stage").agg(F.sort_array(F.collect_list(F.struct("rank", line().alias("line")))).alias("x")).select(*Q, F.struct(place.alias("p"), F.concat(F.lit("\n"), heading, F.lit("\n"), F.array_join(F.col("x.line"), "\n")).alias("t")).alias("s"))
     whole = body.groupBy(*Q).agg(F.array_join(F.sort_array(F.collect_list("s"))["t"], "\n").alias("body"))
-    return whole.select(*Q, F.concat(F.lit(RULE + "\nQUERY: "), F.col("question_id"), F.lit("\n" + RULE + "\n"), F.col("body"), F.lit("\n" + RULE)).alias("text"))
+    head = F.concat(F.lit(RULE + "\nQUERY: "), F.coalesce("question", F.lit("")), F.lit("\n" + RULE + "\n"))
+    return questions.select(*Q, "question").join(whole, Q, "left").select(*Q, F.concat(head, F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit(RULE)).alias("text"))
+
+
+# fixed values: what the structured input calls its sources
+SOURCES = {"pinned": "pinned_recent", "episodic": "episodic", "grounded": "grounding_window"}
 
 
-def llm_input(rows: DataFrame) -> DataFrame:
-    """Q, visual_context (pinned, episodic, grounded; coarse hits are text only), and counts."""
-    order = {"pinned": 0, "episodic": 1, "grounded": 2}
-    place = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("stage"))
-    token = F.struct(place.alias("place"), "rank", F.col("stage").alias("source"), F.array(F.bround("start_time", 2), F.bround("end_time", 2)).alias("time_range"), F.size("visual_embedding").alias("embedding_dim"), F.col("visual_embedding").alias("embedding"), F.col("summary_text").alias("summary"), "score")
-    return rows.groupBy(*Q).agg(
-        F.sort_array(F.collect_list(F.when(F.col("stage") != "coarse", token))).alias("visual_context"), F.count_if(F.col("stage") != "coarse").alias("n_visual_tokens"),
+def llm_input(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """For every question: query, query_embedding, visual_context (pinned, episodic if shown, grounded; coarse hits are text only), text_context, the
+    number of visual tokens, and how many coarse and episodic hits there are, shown or not."""
+    place = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("stage"))
+    source = F.element_at(F.create_map(*[F.lit(x) for kv in SOURCES.items() for x in kv]), F.col("stage"))
+    token = F.struct(place.alias("place"), "rank", source.alias("source"), F.array(F.bround("start_time", 2), F.bround("end_time", 2)).alias("time_range"), F.size("visual_embedding").alias("embedding_dim"), F.col("visual_embedding").alias("embedding"), F.col("summary_text").alias("summary"), "score")
+    seen = (F.col("stage") != "coarse") & F.col("shown")
+    made = rows.groupBy(*Q).agg(
+        F.sort_array(F.collect_list(F.when(seen, token))).alias("visual_context"), F.count_if(seen).alias("n_visual_tokens"),
         F.count_if(F.col("stage") == "coarse").alias("coarse_event_count"), F.count_if(F.col("stage") == "episodic").alias("episodic_hit_count"),
     )
+    named = questions.select(*Q, F.col("question").alias("query"), F.coalesce("query_txt_emb", "query_vis_emb").alias("query_embedding"))
+    none = F.expr(f"cast(array() as {made.schema['visual_context'].dataType.simpleString()})")
+    out = named.join(made, Q, "left").join(text_block(rows, questions).withColumnRenamed("text", "text_context"), Q)
+    zero = F.lit(0).cast("long")
+    return out.select(*Q, "query", "query_embedding", F.coalesce("visual_context", none).alias("visual_context"), "text_context", *[F.coalesce(c, zero).alias(c) for c in ("n_visual_tokens", "coarse_event_count", "episodic_hit_count")])
 
 
 def frames(grounded: DataFrame, pinned: DataFrame, max_frames: int) -> DataFrame:

@@ -24,10 +24,11 @@ def novelty(windows: DataFrame, config: Config) -> DataFrame:
     The band is joined by blocks of capacity ordinals: a window meets its own block and the next, so a long stream is spread over many keys."""
     c = config.recent_capacity
     block = F.floor(F.col("window_ord") / c)
-    left = windows.select(KEY, F.col("window_ord").alias("i"), F.col("visual_embedding").alias("vi"), F.explode(F.array(block, block + 1)).alias("block"))
-    right = windows.select(KEY, F.col("window_ord").alias("j"), F.col("visual_embedding").alias("vj"), block.alias("block"))
+    length = norm(F.col("visual_embedding"))  # once for each window, not for each pair
+    left = windows.select(KEY, F.col("window_ord").alias("i"), F.col("visual_embedding").alias("vi"), length.alias("li"), F.explode(F.array(block, block + 1)).alias("block"))
+    right = windows.select(KEY, F.col("window_ord").alias("j"), F.col("visual_embedding").alias("vj"), length.alias("lj"), block.alias("block"))
     pairs = left.join(right, [KEY, "block"]).where("j > i").where(F.col("j") <= F.col("i") + c)
-    best = pairs.groupBy(KEY, F.col("i").alias("window_ord")).agg(F.max(cosine(F.col("vi"), F.col("vj"))).alias("max_sim"))
+    best = pairs.groupBy(KEY, F.col("i").alias("window_ord")).agg(F.max(dot(F.col("vi"), F.col("vj")) / (F.col("li") * F.col("lj") + F.lit(EPS))).alias("max_sim"))
     return windows.join(best, [KEY, "window_ord"], "left").withColumn("promoted", F.col("max_sim").isNull() | (1 - F.col("max_sim") > config.novelty_threshold))
 
 
@@ -91,7 +92,7 @@ def pooled(segmented: DataFrame, config: Config) -> DataFrame:
     """One row for each episode: members (ordered structs), weights, pooled vector (self-centrality) and representatives (ordered structs).
 
     score_i = lambda * -((t_i - middle)^2) / (2 sigma_c^2 + EPS) + mu * sum_{j<>i} exp(-|t_i - t_j| / (sigma_t + EPS)) cos(i, j), over start times;
-    weights are its softmax; the vector is the normalised weighted sum, or a single member's own."""
+    weights are its softmax; the vector is the normalised weighted sum, or a single member's own. n_rep_windows = 0 makes every member a representative."""
     member = F.struct("window_ord", "window_id", "start_time", "end_time", "visual_embedding", "summary_text", "summary_embedding", norm(F.col("visual_embedding")).alias("length"))
     rows = segmented.groupBy(KEY, "episode_ord").agg(F.sort_array(F.collect_list(member)).alias("m"))
     rows = rows.withColumn("mid", (F.col("m")[0]["start_time"] + F.element_at("m", -1)["start_time"]) / 2)
@@ -105,7 +106,7 @@ def pooled(segmented: DataFrame, config: Config) -> DataFrame:
     score = F.transform(m, lambda a, i: F.lit(config.lambda_center) * center(a) + F.lit(config.mu_consistency) * consistency(a, i))
     vector = lambda w: F.when(F.size("m") == 1, m[0]["visual_embedding"]).otherwise(normalised(weighted(F.col("m.visual_embedding"), w)))
     rows = rows.withColumn("p", let(softmax(score), lambda w: F.struct(w.alias("weights"), vector(w).alias("vector"))))
-    best = F.slice(F.sort_array(F.transform(F.arrays_zip(F.col("p.weights").alias("w"), m.alias("a")), lambda x, i: F.struct(x["w"].alias("w"), x["a"]["window_ord"].alias("o"), i.alias("i"))), False), 1, config.n_rep_windows)
+    best = F.slice(F.sort_array(F.transform(F.arrays_zip(F.col("p.weights").alias("w"), m.alias("a")), lambda x, i: F.struct(x["w"].alias("w"), x["a"]["window_ord"].alias("o"), i.alias("i"))), False), F.lit(1), F.lit(config.n_rep_windows) if config.n_rep_windows > 0 else F.size("m"))
     rows = rows.withColumn("reps", F.transform(F.sort_array(F.transform(best, lambda b: F.struct(b["o"].alias("o"), b["i"].alias("i")))), lambda b: m[b["i"]]))
     return rows.select(KEY, "episode_ord", "m", F.col("p.weights").alias("weights"), "reps", F.col("p.vector").alias("visual_embedding"))
 
@@ -120,7 +121,7 @@ def episodes(segmented: DataFrame, config: Config) -> DataFrame:
     start, end = F.col("m")[0]["start_time"], F.element_at("m", -1)["end_time"]
     return rows.select(
         KEY, "episode_ord", episode_id().alias("episode_id"), start.alias("start_time"), end.alias("end_time"), "visual_embedding", F.col("m.window_ord").alias("member_ords"), F.col("m.window_id").alias("member_window_ids"),
-        F.col("reps.window_id").alias("representative_window_ids"), F.col("reps.visual_embedding").alias("rep_vectors"), text.episode_default(start, end, F.size("m")).alias("summary_text"), F.col("reps")[0]["summary_embedding"].alias("summary_embedding"), "weights",
+        F.col("reps.window_id").alias("representative_window_ids"), F.col("reps.visual_embedding").alias("rep_vectors"), text.episode_default(start, end, F.size("m")).alias("summary_text"), F.get("reps", F.lit(0))["summary_embedding"].alias("summary_embedding"), "weights",
     )
 
 
@@ -138,6 +139,18 @@ def rep_fallback(members: DataFrame, vector: str, n: int = 2) -> DataFrame:
     return members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).select(KEY, "episode_ord", "window_ord")
 
 
+def represented(eps: DataFrame, windows: DataFrame) -> DataFrame:
+    """eps in which episodes that name no representatives get those of rep_fallback, in order of members, with their vectors. Others are left as they are."""
+    bare = F.coalesce(F.size("representative_window_ids"), F.lit(0)) == 0
+    some = eps.where(bare).select(KEY, "episode_ord", F.col("visual_embedding").alias("pool"), F.posexplode("member_window_ids").alias("position", "window_id"))
+    rows = some.join(windows.select(KEY, "window_id", "window_ord", "visual_embedding"), [KEY, "window_id"])
+    best = rep_fallback(rows, "pool").join(rows, [KEY, "episode_ord", "window_ord"]).groupBy(KEY, "episode_ord").agg(F.sort_array(F.collect_list(F.struct("position", "window_id", "visual_embedding"))).alias("b"))
+    made = eps.where(bare).drop("representative_window_ids", "rep_vectors").join(best.select(KEY, "episode_ord", F.col("b.window_id").alias("representative_window_ids"), F.col("b.visual_embedding").alias("rep_vectors")), [KEY, "episode_ord"], "left")
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as {kind})")).alias(c)
+    made = made.select(*[c for c in made.columns if c not in ("representative_window_ids", "rep_vectors")], none("representative_window_ids", "array<string>"), none("rep_vectors", "array<array<double>>"))
+    return eps.where(~bare).unionByName(made)
+
+
 def cluster(eps: DataFrame, config: Config) -> DataFrame:
     """episodes with event_ord. Independent of when capacity forces it, as long as episodic_capacity + 1 >= episodic_merge_batch."""
     if config.episodic_capacity + 1 < config.episodic_merge_batch:
@@ -146,7 +159,10 @@ def cluster(eps: DataFrame, config: Config) -> DataFrame:
     return eps.join(folded.withColumnRenamed("run_ord", "event_ord"), [KEY, "episode_ord"])
 
 
-def events(clustered: DataFrame, config: Config) -> DataFrame:
+def events(clustered: DataFrame, config: Config, windows: DataFrame | None = None) -> DataFrame:
+    """Events of clustered episodes. windows: where representatives of episodes that name none are sought; what episodes() makes always names some."""
+    if windows is not None:
+        clustered = represented(clustered, windows)
     one = F.struct("episode_ord", "episode_id", "start_time", "end_time", "visual_embedding", "representative_window_ids", "rep_vectors", "summary_text", "summary_embedding")
     rows = clustered.groupBy(KEY, "event_ord").agg(F.sort_array(F.collect_list(one)).alias("c"))
     start, end = F.col("c")[0]["start_time"], F.element_at("c", -1)["end_time"]
@@ -244,9 +260,36 @@ def center_grounding(eps: DataFrame, radius: int) -> DataFrame:
     return eps.select(KEY, "episode_ord", part.alias("window_ids"))
 
 
+COUNTERS = ("recent", "pending_episode", "episodic", "long_term", "n_promoted", "n_discarded", "n_episodes_flushed", "n_consolidated")
+
+
 def stats(gated: DataFrame, eps: DataFrame, evs: DataFrame, config: Config) -> DataFrame:
-    """Counts of each stream once it is finalised."""
+    """The counters of each stream once it is finalised, when everything has been flushed and consolidated; and the sizes of its episodes and events."""
     a = novelty_stats(gated)
-    b = eps.groupBy(KEY).agg(F.count("*").alias("n_episodes"), F.sum(F.size("member_window_ids")).alias("n_members"), F.max(F.size("member_window_ids")).cast("long").alias("longest_episode"))
-    c = evs.groupBy(KEY).agg(F.count("*").alias("n_events"), F.max("n_episodes").alias("largest_event"))
-    return a.join(b, KEY, "left").join(c, KEY, "left")
+    b = eps.groupBy(KEY).agg(F.count("*").alias("n_episodes_flushed"), F.sum(F.size("member_window_ids")).alias("n_members"), F.max(F.size("member_window_ids")).cast("long").alias("longest_episode"))
+    c = evs.groupBy(KEY).agg(F.count("*").alias("n_consolidated"), F.max("n_episodes").alias("largest_event"))
+    rows = a.join(b, KEY, "left").join(c, KEY, "left")
+    zero = F.lit(0).cast("long")
+    counts = {"recent": zero, "pending_episode": zero, "episodic": zero, "long_term": F.coalesce("n_consolidated", zero), "n_episodes_flushed": F.coalesce("n_episodes_flushed", zero), "n_consolidated": F.coalesce("n_consolidated", zero)}
+    return rows.select(KEY, *[counts.get(n, F.col(n)).alias(n) for n in COUNTERS], "n_members", "longest_episode", "largest_event")
+
+
+def stats_at(state: DataFrame, gated: DataFrame, segmented: DataFrame, config: Config) -> DataFrame:
+    """The counters at each question that comes before its stream's end, once that question has closed what it closes."""
+    run = Window.partitionBy(KEY).orderBy("window_ord").rowsBetween(Window.unboundedPreceding, 0)
+    seen = gated.select(KEY, F.col("window_ord").alias("evicted_to"), F.sum(F.col("promoted").cast("long")).over(run).alias("n_promoted"), F.sum((~F.col("promoted")).cast("long")).over(run).alias("n_discarded"))
+    inside = Window.partitionBy(KEY, "episode_ord").orderBy("window_ord")
+    places = segmented.select(KEY, F.col("window_ord").alias("last_ord"), F.row_number().over(inside).cast("long").alias("place"))
+    rows = state.where("fired_ord is not null").join(seen, [KEY, "evicted_to"], "left")
+    # the open episode's size is the place of the last promoted window in it
+    last = segmented.select(KEY, "window_ord").join(rows.select(KEY, "question_id", "evicted_to"), KEY).where("window_ord <= evicted_to").groupBy(KEY, "question_id").agg(F.max("window_ord").alias("last_ord")) if not config.cut_on_query else None
+    zero = F.lit(0).cast("long")
+    if last is None:
+        rows = rows.withColumn("place", zero)
+    else:
+        rows = rows.join(last, [KEY, "question_id"], "left").join(places, [KEY, "last_ord"], "left")
+    counts = {
+        "recent": F.least(F.col("fired_ord") + 1, F.lit(config.recent_capacity).cast("long")), "pending_episode": F.when(F.col("n_episodes") > F.col("n_closed"), F.coalesce("place", zero)).otherwise(zero), "episodic": F.col("n_closed") - F.col("first_episode"),
+        "long_term": F.col("n_events"), "n_promoted": F.coalesce("n_promoted", zero), "n_discarded": F.coalesce("n_discarded", zero), "n_episodes_flushed": F.col("n_closed"), "n_consolidated": F.col("n_events"),
+    }
+    return rows.select(KEY, "question_id", *[counts[n].alias(n) for n in COUNTERS])

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.vector import cosine, max_similarity
-from ..sources.staging import staged
+from ..sources.staging import drop_staged, staged
 from . import memory
 
 Q = ["stream_id", "question_id"]
@@ -86,40 +87,133 @@ def grounded(recent_hits: DataFrame, archive: DataFrame, pinned: DataFrame) -> D
 
 
 class Retrieval:
-    """All stages of one configuration. What several stages read is staged as a table, so that plans stay small; the rest are lazy DataFrames."""
-
-    def __init__(self, questions: DataFrame, windows: DataFrame, config: Config) -> None:
-        self.config = c = config
-        self.windows = windows = staged(windows, "windows")
-        self.fired = staged(memory.firing(questions, windows), "fired")
-        self.gate = staged(memory.novelty(windows, c), "gate")
-        promoted = self.gate.where("promoted")
-        cut = None
-        if c.cut_on_query:
-            promoted, cut = memory.forced_cuts(promoted, self.fired, c), "cut"
-        self.segmented = staged(memory.segment(promoted, c, cut), "segmented")
-        self.episodes = staged(memory.episodes(self.segmented, c), "episodes")
-        self.clustered = staged(memory.cluster(self.episodes, c), "clustered")
-        self.events = staged(memory.events(self.clustered, c), "events")
-        self.state = staged(memory.state_at(self.fired, self.segmented, self.episodes, self.clustered.select("stream_id", "episode_ord", "event_ord"), self.events, c), "state")
-        self.recent = memory.recent_at(self.state, windows, c.recent_capacity)
-        self.episodic = memory.episodes_at(self.state, self.episodes)
-        if not c.cut_on_query:
-            self.episodic = self.episodic.unionByName(staged(memory.open_at(self.state, self.segmented, c), "open"))
-        self.long_term = memory.events_at(self.state, self.events)
-        self.span = staged(spans(self.recent, self.episodic, self.long_term), "span")
-        self.recent_scored = scored(self.recent, self.span, F.array("visual_embedding"), c)
-        self.recent_hits = staged(ranked(self.recent_scored, c.top_k, "window_ord"), "recent-hits")
+    """All stages of one configuration, each worked out on first use. What several stages read is staged as a table, so that plans stay small; the rest
+    are lazy DataFrames. drop() deletes what was staged.
+
+    summarise (rows to rows with another summary_text) and encode (a UDF from text to vector) take the place of the built-in templates of episodes and
+    events; where encode gives nothing, the built-in summary embedding stays. A summary that is null or empty leaves the template's."""
+
+    def __init__(self, questions: DataFrame, windows: DataFrame, config: Config, summarise: Callable[[DataFrame], DataFrame] | None = None, encode: Callable[[Column], Column] | None = None) -> None:
+        self.config, self.questions, self._windows, self.summarise, self.encode = config, questions, windows, summarise, encode
+        self._written: list[DataFrame] = []
+
+    def _staged(self, df: DataFrame, tag: str) -> DataFrame:
+        out = staged(df, tag)
+        self._written.append(out)
+        return out
+
+    def written(self) -> list[str]:
+        return [d._tm_staged for d in self._written]
+
+    def drop(self) -> None:
+        """Delete the staged tables; the stages are worked out anew when they are next used."""
+        drop_staged(*self._written)
+        self._written = []
+        for name in [n for n in vars(self) if isinstance(getattr(type(self), n, None), cached_property)]:
+            delattr(self, name)
+
+    def _told(self, rows: DataFrame) -> DataFrame:
+        """Rows with summaries and their embeddings by the given functions, where there are any."""
+        if self.summarise is not None:
+            made = self.summarise(rows.withColumn("_template", F.col("summary_text")))
+            rows = made.withColumn("summary_text", F.coalesce(F.nullif("summary_text", F.lit("")), F.col("_template"))).drop("_template")
+        if self.encode is not None:
+            rows = rows.withColumn("summary_embedding", F.coalesce(self.encode(F.col("summary_text")), F.col("summary_embedding")))
+        return rows
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        return self._staged(self._windows, "windows")
+
+    @cached_property
+    def fired(self) -> DataFrame:
+        return memory.firing(self.questions, self.windows)
+
+    @cached_property
+    def gate(self) -> DataFrame:
+        return self._staged(memory.novelty(self.windows, self.config), "gate")
+
+    @cached_property
+    def segmented(self) -> DataFrame:
+        promoted, cut = self.gate.where("promoted"), None
+        if self.config.cut_on_query:
+            promoted, cut = memory.forced_cuts(promoted, self.fired, self.config), "cut"
+        return self._staged(memory.segment(promoted, self.config, cut), "segmented")
+
+    @cached_property
+    def episodes(self) -> DataFrame:
+        return self._staged(self._told(memory.episodes(self.segmented, self.config)), "episodes")
+
+    @cached_property
+    def clustered(self) -> DataFrame:
+        return self._staged(memory.cluster(self.episodes, self.config), "clustered")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._staged(self._told(memory.events(self.clustered, self.config)), "events")
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return self._staged(memory.state_at(self.fired, self.segmented, self.episodes, self.clustered.select("stream_id", "episode_ord", "event_ord"), self.events, self.config), "state")
+
+    @cached_property
+    def recent(self) -> DataFrame:
+        return memory.recent_at(self.state, self.windows, self.config.recent_capacity)
+
+    @cached_property
+    def episodic(self) -> DataFrame:
+        closed = memory.episodes_at(self.state, self.episodes)
+        return closed if self.config.cut_on_query else closed.unionByName(self._staged(memory.open_at(self.state, self.segmented, self.config), "open"))
+
+    @cached_property
+    def long_term(self) -> DataFrame:
+        return memory.events_at(self.state, self.events)
+
+    @cached_property
+    def span(self) -> DataFrame:
+        return self._staged(spans(self.recent, self.episodic, self.long_term), "span")
+
+    @cached_property
+    def recent_scored(self) -> DataFrame:
+        return scored(self.recent, self.span, F.array("visual_embedding"), self.config)
+
+    @cached_property
+    def recent_hits(self) -> DataFrame:
+        return self._staged(ranked(self.recent_scored, self.config.top_k, "window_ord"), "recent-hits")
+
+    @cached_property
+    def events_scored(self) -> DataFrame:
         vectors = F.when(F.size("rep_vectors") > 0, F.col("rep_vectors")).otherwise(F.array("visual_embedding"))
-        self.events_scored = scored(self.long_term, self.span, vectors, c)
-        self.coarse_hits = staged(coarse(self.events_scored, c.top_m), "coarse-hits")
-        self.candidates = gated(self.episodic, self.coarse_hits, c.recent_episodes)
-        self.episodic_hits = staged(ranked(scored(self.candidates, self.span, F.array("visual_embedding"), c), c.top_k, "place", "episode_ord"), "episodic-hits")
-        self.archive = memory.rep_neighbours(self.episodic_hits, c.neighbor_radius, (*Q, "rank"))
-        if not c.ground_archive:
-            self.archive = self.archive.where("false")
-        self.pinned = self.recent.where(F.col("window_ord") > F.col("fired_ord") - c.pin_n).withColumn("rank", F.row_number().over(Window.partitionBy(*Q).orderBy("window_ord")))
-        self.grounded = grounded(self.recent_hits, self.archive, self.pinned)
+        return scored(self.long_term, self.span, vectors, self.config)
+
+    @cached_property
+    def coarse_hits(self) -> DataFrame:
+        return self._staged(coarse(self.events_scored, self.config.top_m), "coarse-hits")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return gated(self.episodic, self.coarse_hits, self.config.recent_episodes)
+
+    @cached_property
+    def episodic_scored(self) -> DataFrame:
+        return scored(self.candidates, self.span, F.array("visual_embedding"), self.config)
+
+    @cached_property
+    def episodic_hits(self) -> DataFrame:
+        return self._staged(ranked(self.episodic_scored, self.config.top_k, "place", "episode_ord"), "episodic-hits")
+
+    @cached_property
+    def archive(self) -> DataFrame:
+        near = memory.rep_neighbours(self.episodic_hits, self.config.neighbor_radius, (*Q, "rank"))
+        return near if self.config.ground_archive else near.where("false")
+
+    @cached_property
+    def pinned(self) -> DataFrame:
+        return self.recent.where(F.col("window_ord") > F.col("fired_ord") - self.config.pin_n).withColumn("rank", F.row_number().over(Window.partitionBy(*Q).orderBy("window_ord")))
+
+    @cached_property
+    def grounded(self) -> DataFrame:
+        return grounded(self.recent_hits, self.archive, self.pinned)
 
     def hits(self) -> DataFrame:
         """stream_id, question_id, stage, rank, entry_id, score of all stages; pinned windows and grounded ones that were not recent hits have no score."""

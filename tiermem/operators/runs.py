@@ -10,19 +10,17 @@ from .models import Answerer, answerer
 from .retrieval import Q, Retrieval
 
 
+def _asked(fired: DataFrame, rows: DataFrame, answer: Answerer) -> DataFrame:
+    """Every question with its evidence, also one without any, answered."""
+    return answer(fired.select(*Q, "question", "options", "answer").join(evidence.text_block(rows, fired), Q))
+
+
 def hierarchical(r: Retrieval, answer: Answerer) -> DataFrame:
-    blocks = evidence.text_block(evidence.described(r))
-    return answer(r.fired.select(*Q, "question", "options", "answer").join(blocks, Q))
+    return _asked(r.fired, evidence.described(r), answer)
 
 
 def recent_only(r: Retrieval, answer: Answerer) -> DataFrame:
-    """The baseline's evidence: its top hits, then its newest windows that are not among them."""
-    hits = baseline.top_k(r.fired, r.windows, r.config)
-    pins = baseline.context(r.fired, r.windows, r.config).withColumn("newest", F.col("window_ord"))
-    cols = [*Q, "rank", F.col("window_id").alias("entry_id"), "start_time", "end_time", "summary_text", "visual_embedding"]
-    pinned = pins.join(hits.select(*Q, "window_id"), [*Q, "window_id"], "left_anti").withColumn("rank", F.col("newest").cast("int"))
-    rows = pinned.select(F.lit("pinned").alias("stage"), *cols, F.lit(None).cast("double").alias("score")).unionByName(hits.select(F.lit("grounded").alias("stage"), *cols, "score"))
-    return answer(r.fired.select(*Q, "question", "options", "answer").join(evidence.text_block(rows), Q))
+    return _asked(r.fired, evidence.shown(baseline.described(r.fired, r.windows, r.config), r.config), answer)
 
 
 def records(r: Retrieval, answer: Answerer | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import PRESETS
 from ..functions.vector import mean, normalised
 from ..operators.retrieval import Retrieval
-from ..sources.staging import staged
+from ..sources.staging import exists, staged, stamp
 
 CONFIG = PRESETS["fixture"]
 PER_STREAM = 100
@@ -60,12 +60,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval(spark: SparkSession, sf_dir: str, config=CONFIG) -> Retrieval:
-    """The pipeline over the canonical stream, kept for the session: its queries share the plans."""
+    """The pipeline over the canonical stream. Its queries share it, as long as the table is the same and what was staged is still there."""
     key = (spark.sparkContext.applicationId, sf_dir, config)
-    if key not in _KEPT:
+    now = stamp(spark, f"{sf_dir}/embeddings.parquet")
+    before, kept = _KEPT.get(key, (None, None))
+    if before != now or not all(exists(spark, p) for p in kept.written()):
         base = staged(windows(spark, sf_dir), "stream")
-        _KEPT[key] = Retrieval(questions(base), base, config)
-    return _KEPT[key]
+        _KEPT[key] = now, Retrieval(questions(base), base, config)
+    return _KEPT[key][1]
 
 
 def persistence_log(r: Retrieval) -> DataFrame:

@@ -56,9 +56,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(spark: SparkSession, glob: str) -> DataFrame:
-    """Prediction records of all result files, with clip_id from the file's name."""
+    """Prediction records of all result files, with clip_id from the folder that names it, as the sink writes it, else from the file's name."""
     rows = spark.read.schema(schemas.RECORD).json(glob)
-    return rows.withColumn("clip_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1))
+    return rows.withColumn("clip_id", F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"/clip_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1)))
 
 
 def completed(records: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ class Memory:
             e = np.exp(score - score.max())
             weights = e / (e.sum() + EPS)
             pool = _unit(weights @ vs)
-        reps = sorted(sorted(range(len(p)), key=lambda i: (weights[i], i), reverse=True)[: self.c.n_rep_windows])
+        reps = sorted(sorted(range(len(p)), key=lambda i: (weights[i], i), reverse=True)[: self.c.n_rep_windows or None])
         return {"id": name, "start": p[0]["start"], "end": p[-1]["end"], "v": pool.tolist(), "members": [w["id"] for w in p], "reps": [p[i]["id"] for i in reps], "rep_v": [p[i]["v"] for i in reps], "t": p[reps[0]]["t"]}
 
     def flush(self) -> list[tuple]:
@@ -163,6 +163,9 @@ class Memory:
     def _near_reps(self, e: dict[str, Any]) -> list[str]:
         """The representatives and their neighbours among the members that the archive still has."""
         have = [i for i in e["members"] if i in self.s["archive"] or any(w["id"] == i for w in self.s["pending"])]
+        if not e["reps"]:
+            k, d = len(have) // 2, self.c.neighbor_radius
+            return have if d < 0 or len(have) <= 2 * d + 1 else have[max(0, k - d) : k + d + 1]
         out: list[str] = []
         for r in e["reps"]:
             if r in have:
