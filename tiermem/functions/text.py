@@ -109,8 +109,9 @@ def option_text(options: Column, letter: Column) -> Column:
 
 
 def fixed(x: Column, places: int) -> Column:
-    """A number with so many decimals; null stays null. bround keeps the half-even rule for values that are exact ties in decimal."""
-    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", F.bround(x, places)))
+    """A number with so many decimals; null stays null. bround keeps the half-even rule for values that are exact ties in decimal; a negative number
+    that rounds to zero keeps its sign, as in C."""
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), F.format_string(f"%.{places}f", F.bround(F.abs(x), places))))
 
 
 def uniform_sample(items: Column, n: int) -> Column:

@@ -61,19 +61,71 @@ def restore(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(spark.read.parquet(f"{path}/{n}") for n in ("window", "episode", "event"))
 
 
-def merge_batch(path: str, key: str, order: str = "seq"):
-    """A foreachBatch sink that keeps one Parquet table of the last rows by key. Each batch writes a new version and then its name,
-    so that a batch that is run again changes nothing."""
+def deleted(windows: DataFrame, eps: DataFrame, evs: DataFrame, window_ids: DataFrame | None = None, episode_ids: DataFrame | None = None, event_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables without the named rows. A row's own bridge rows go with it; a row that a bridge of one that stays still points to is not deleted."""
+    if event_ids is not None:
+        evs = evs.join(event_ids.select("event_id"), "event_id", "left_anti")
+    if episode_ids is not None:
+        free = episode_ids.select("episode_id").join(event_bridge(evs), "episode_id", "left_anti")
+        eps = eps.join(free, "episode_id", "left_anti")
+    if window_ids is not None:
+        free = window_ids.select("window_id").join(episode_bridge(eps), "window_id", "left_anti").join(event_rep_bridge(evs), "window_id", "left_anti")
+        windows = windows.join(free, "window_id", "left_anti")
+    return windows, eps, evs
+
+
+#: Folders that the rows of a merged table are spread over by their key; a batch rewrites those it touches.
+BUCKETS = 16
+
+
+def _folders(spark, path: str) -> list[tuple[int, int, str]]:
+    """(bucket, version, path) of what a merged table holds, sorted."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    found = []
+    for version in fs.listStatus(where):
+        name = version.getPath().getName()
+        if name[:1] == "v" and name[1:].isdigit():
+            parts = [p.getPath() for p in fs.listStatus(version.getPath())]
+            found += [(int(p.getName()[len("bucket=") :]), int(name[1:]), p.toString()) for p in parts if p.getName().startswith("bucket=")]
+    return sorted(found)
+
+
+def current(spark, path: str, before: int | None = None) -> DataFrame:
+    """A merged table as it stands: of each bucket the newest version (before the given one)."""
+    newest = {b: p for b, v, p in _folders(spark, path) if before is None or v < before}
+    return spark.read.parquet(*newest.values())
+
+
+def merge_batch(path: str, key: str, order: str = "seq", buckets: int = BUCKETS):
+    """A foreachBatch sink that keeps one table by the rule of upsert_windows: stored rows come before the batch's, these by order; the first write wins for
+    the fixed columns, the last for all others.
+
+    A batch rewrites the buckets that it touches, as a version of its own, so that one that is run again changes nothing; versions that neither the
+    table nor a repeated batch needs are deleted. A batch without rows writes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = f"{path}/v{batch_id:08d}"
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        old = sorted(s.getPath().getName() for s in fs.listStatus(where) if s.getPath().getName().startswith("v")) if fs.exists(where) else []
-        old = [v for v in old if v < f"v{batch_id:08d}"]
-        rows = batch if not old else batch.unionByName(spark.read.parquet(f"{path}/{old[-1]}"))
-        replace_rows(rows, key, order).write.mode("overwrite").parquet(version)
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        if not touched:
+            return
+        before = {b: p for b, v, p in _folders(spark, path) if v < batch_id and b in touched}
+        at = F.struct("_new", order)
+        rows = new.withColumn("_new", F.lit(True))
+        for b, p in before.items():
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(p).withColumn("bucket", F.lit(b)).withColumn("_new", F.lit(False)))
+        pick = [(F.min_by if c in FIXED else F.max_by)(c, at).alias(c) for c in batch.columns if c != key]
+        rows.groupBy(key, "bucket").agg(*pick).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{batch_id:08d}")
+        kept: dict[int, list[str]] = {}
+        for b, v, p in _folders(spark, path):
+            if v < batch_id:
+                kept.setdefault(b, []).append(p)
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for p in [p for ps in kept.values() for p in ps[:-1]]:
+            old = fs_path(p)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return write

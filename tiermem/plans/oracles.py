@@ -104,13 +104,17 @@ HITS = f"""{STATE},
 rs AS (SELECT *, {_SCORE} AS score FROM (SELECT *, {_cos('qv', 'v')} AS vis, {_DECAY} AS decay FROM rec JOIN spn USING (question_id))),
 rh AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, window_ord) AS rank FROM rs QUALIFY rank <= {C.top_k}),
 ls AS (SELECT *, {_SCORE} AS score FROM (SELECT *, list_max(list_transform(rep_vs, lambda r: {_cos('qv', 'r')})) AS vis, {_DECAY} AS decay FROM lng JOIN spn USING (question_id))),
-lr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, event_ord) AS r, row_number() OVER (PARTITION BY question_id ORDER BY end_time DESC, event_ord) = 1 AS newest FROM ls),
-lr2 AS (SELECT *, bool_or(newest AND r <= {C.top_m}) OVER (PARTITION BY question_id) AS newest_in FROM lr),
-ch AS (SELECT *, least(r, {C.top_m}) AS rank FROM lr2 WHERE r < {C.top_m} OR newest OR (r = {C.top_m} AND newest_in)),
-cand AS (SELECT t.*, EXISTS (SELECT 1 FROM ch WHERE ch.question_id = t.question_id AND t.start_time <= ch.end_time AND t.end_time >= ch.start_time) AS in_range, EXISTS (SELECT 1 FROM ch WHERE ch.question_id = t.question_id) AS has_range,
-  row_number() OVER (PARTITION BY question_id ORDER BY episode_ord DESC) <= {C.recent_episodes} AS in_tail FROM tier t),
-cand2 AS (SELECT *, NOT has_range OR NOT bool_or(in_range OR in_tail) OVER (PARTITION BY question_id) AS every_one FROM cand),
-cd AS (SELECT *, CASE WHEN every_one THEN 'all' WHEN in_range THEN 'range' ELSE 'tail' END AS via FROM cand2 WHERE every_one OR in_range OR in_tail),
+lr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, event_ord) AS r FROM ls),
+best AS (SELECT * FROM lr WHERE r <= {C.top_m}),
+newest AS (SELECT question_id, arg_max(event_id, (end_time, -event_ord)) AS newest_id FROM ls GROUP BY ALL),
+absent AS (SELECT question_id, newest_id FROM newest WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.question_id = newest.question_id AND best.event_id = newest.newest_id)),
+ch AS (SELECT b.*, b.r AS rank, false AS forced FROM best b WHERE NOT EXISTS (SELECT 1 FROM absent a WHERE a.question_id = b.question_id AND b.r = (SELECT max(r) FROM best x WHERE x.question_id = b.question_id))
+  UNION ALL SELECT l.*, (SELECT max(r) FROM best x WHERE x.question_id = l.question_id) AS rank, true FROM lr l JOIN absent a ON a.question_id = l.question_id AND a.newest_id = l.event_id),
+inr AS (SELECT DISTINCT t.question_id, t.episode_ord, 'range' AS via FROM tier t JOIN ch ON ch.question_id = t.question_id AND t.start_time <= ch.end_time AND t.end_time >= ch.start_time),
+tails AS (SELECT question_id, episode_ord, 'tail' AS via FROM (SELECT question_id, episode_ord, count(*) OVER (PARTITION BY question_id ORDER BY episode_ord DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back FROM tier) t WHERE back <= {C.recent_episodes} AND question_id IN (SELECT question_id FROM ch) AND NOT EXISTS (SELECT 1 FROM inr WHERE inr.question_id = t.question_id AND inr.episode_ord = t.episode_ord)),
+cands AS (SELECT * FROM inr UNION ALL SELECT * FROM tails),
+named_ep AS (SELECT * FROM cands UNION ALL SELECT question_id, episode_ord, 'all' FROM tier WHERE question_id NOT IN (SELECT question_id FROM cands)),
+cd AS (SELECT t.*, n.via FROM tier t JOIN named_ep n ON n.question_id = t.question_id AND n.episode_ord = t.episode_ord),
 es AS (SELECT *, {_SCORE} AS score FROM (SELECT *, {_cos('qv', 'v')} AS vis, {_DECAY} AS decay FROM cd JOIN spn USING (question_id))),
 eh AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CASE WHEN via = 'tail' THEN 1 ELSE 0 END, episode_ord) AS rank FROM es QUALIFY rank <= {C.top_k}),
 mem AS (SELECT stream_id, episode_ord, window_id, window_ord, row_number() OVER (PARTITION BY stream_id, episode_ord ORDER BY window_ord) - 1 AS position FROM seg),
@@ -139,15 +143,18 @@ FROM (SELECT stream_id, list(window_ord ORDER BY window_ord) AS a FROM wins GROU
 
 sql("vec_cosine_pairs", "", f"SELECT a.vec_id, {R(_cos('a.v', 'b.v'))} AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b ON b.vec_id = a.vec_id + 1")
 sql("vec_centroid_by_label", f"e AS (SELECT label, embedding::DOUBLE[] AS v FROM embeddings), m AS {_mean_by('e', 'label', 'v')}, u AS (SELECT label, {_unit('v')} AS v FROM m)", f"SELECT label, {_COORDS} FROM u")
-sql("vec_softmax_weights", "l AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS s FROM lineitem WHERE l_orderkey % 10 = 1), x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY l_orderkey)) AS e FROM l)", f"SELECT l_orderkey, l_linenumber, {R('e / (sum(e) OVER (PARTITION BY l_orderkey) + 1e-8)')} AS weight FROM x")
-sql("vec_max_similarity", "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)", f"SELECT a.vec_id, {R('max(' + _cos('a.v', 'b.v') + ')')} AS best FROM e a JOIN e b ON a.label = b.label AND b.vec_id < 20 GROUP BY a.vec_id")
+sql("vec_softmax_weights", "l AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS s FROM lineitem), x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY l_orderkey)) AS e FROM l)", f"SELECT l_orderkey, l_linenumber, {R('e / (sum(e) OVER (PARTITION BY l_orderkey) + 1e-8)')} AS weight FROM x")
+sql("vec_max_similarity", f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS {_mean_by('e', 'label', 'v')},
+near AS (SELECT e.*, row_number() OVER (PARTITION BY e.label ORDER BY round({_cos('e.v', 'm.v')}, 9) DESC, vec_id) AS rn FROM e JOIN m ON e.label IS NOT DISTINCT FROM m.label)""",
+    f"SELECT a.vec_id, {R('max(' + _cos('a.v', 'b.v') + ')')} AS best FROM e a LEFT JOIN near b ON a.label IS NOT DISTINCT FROM b.label AND b.rn <= {C.n_rep_windows} GROUP BY a.vec_id")
 
 sql("scl_hms", "e AS (SELECT event_id, string_split(CASE event_id % 5 WHEN 0 THEN '00:00:00' WHEN 1 THEN strftime(ts, '%H:%M:%S') WHEN 2 THEN strftime(ts, '%M:%S') ELSE strftime(ts, '%S') END, ':') AS p FROM events)", "SELECT event_id, list_reduce(list_transform(p, lambda x: x::DOUBLE), lambda a, b: a * 60 + b) AS seconds FROM e")
 sql("txt_first_letter", "", "SELECT doc_id, coalesce(nullif(regexp_extract(text, '[ABCD]'), ''), '?') AS letter FROM documents")
 sql("txt_mcq_split", "", r"""SELECT o_orderkey, 'Is ' || o_orderpriority || ' urgent?' AS stem, CASE WHEN o_orderkey % 3 <> 0 THEN 'A. yes ' || o_orderstatus || ',B. no,C. it/may,D. be' ELSE '' END AS options FROM orders""")
 sql("txt_range_end", "", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%M:%S') END AS end_ref FROM events")
 sql("txt_qa_convert", "", "SELECT o_orderkey::VARCHAR AS question_id, CASE o_orderkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN o_orderstatus ELSE o_orderpriority || ', ' || o_orderstatus END AS task_type FROM orders")
-sql("txt_literal_list", "", "SELECT * FROM (VALUES (1::INT, 'a|b'), (2, 'x'), (3, ''), (4, 'no list'), (5, '[broken'), (6, '')) t(id, items)")
+sql("txt_literal_list", "", """SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'a' || event_id || '|b' WHEN 1 THEN 'I don''t know ' || event_id || '|say "x"|c' WHEN 3 THEN 'no list ' || event_id WHEN 4 THEN '[broken ' || event_id
+WHEN 6 THEN '1|' || event_id || '|x' WHEN 7 THEN 'quoted ' || event_id WHEN 9 THEN 'tab' || chr(9) || ' it''s ' || event_id ELSE '' END AS items, (CASE WHEN event_id % 10 IN (2, 5, 8) THEN 0 WHEN event_id % 10 IN (1, 6) THEN 3 WHEN event_id % 10 = 0 THEN 2 ELSE 1 END)::INT AS n_items FROM events""")
 sql("txt_ids", "", "SELECT event_id, (event_id % 50)::INT AS sample_id, 'abc-' || lpad(event_id::VARCHAR, 7, '0') AS video_id FROM events")
 sql("txt_chunk", "", f"""WITH t AS (SELECT doc_id, (doc_id % 14)::INT AS n FROM documents), c AS (SELECT doc_id, n, greatest(1, (n + 4) // 5) AS n_chunks FROM t), p AS (SELECT doc_id, n, n_chunks::INT AS n_chunks, unnest(range(n_chunks)) AS place FROM c),
 z AS (SELECT *, least(5, n) AS widest, range(place * 5 + 1, least(n, place * 5 + 5) + 1) AS own FROM p)
@@ -172,7 +179,7 @@ sql("mem_event_reps", EVENTS, f"SELECT stream_id, event_ord, {J('rep_ids')} AS r
 sql("mem_asof_state", STATE, "SELECT question_id, fired_ord, n_episodes, n_events, first_episode FROM st")
 sql("mem_center_grounding", POOL, f"SELECT stream_id, episode_ord, {J('CASE WHEN n <= 3 THEN ids ELSE ids[n // 2 : n // 2 + 2] END')} AS windows FROM eps")
 sql("mem_rep_neighbours", HITS, "SELECT stream_id, episode_ord, seq, position, window_id FROM nb")
-sql("mem_stats", EVENTS, """SELECT stream_id, n_windows, n_promoted, n_windows - n_promoted AS n_discarded, n_episodes, n_members, longest_episode, n_events, largest_event FROM
+sql("mem_stats", EVENTS, """SELECT stream_id, 0::BIGINT AS recent, 0::BIGINT AS pending_episode, 0::BIGINT AS episodic, n_events AS long_term, n_promoted, n_windows - n_promoted AS n_discarded, n_episodes AS n_episodes_flushed, n_events AS n_consolidated, n_members, longest_episode, largest_event FROM
 (SELECT stream_id, count(*) AS n_windows FROM gate GROUP BY ALL) JOIN (SELECT stream_id, count(*) AS n_promoted FROM prom GROUP BY ALL) USING (stream_id) JOIN
 (SELECT stream_id, count(*) AS n_episodes, sum(n)::BIGINT AS n_members, max(n) AS longest_episode FROM eps GROUP BY ALL) USING (stream_id) JOIN (SELECT stream_id, count(*) AS n_events, max(n_episodes) AS largest_event FROM evs GROUP BY ALL) USING (stream_id)""")
 
@@ -180,7 +187,7 @@ sql("ret_span", STATE, "SELECT question_id, span FROM spn")
 sql("ret_decay", HITS, f"SELECT question_id, event_ord, {R('decay')} AS decay FROM ls")
 sql("ret_stage0", HITS, f"SELECT question_id, rank, window_id, {R('score')} AS score FROM rh")
 sql("ret_stage_a", HITS, f"SELECT question_id, rank, event_id, {R('score')} AS score FROM ch")
-sql("ret_latest_forced", HITS, "SELECT question_id, event_id, rank, NOT newest_in AS forced FROM ch WHERE newest")
+sql("ret_latest_forced", HITS, "SELECT question_id, event_id, rank, forced FROM ch JOIN newest USING (question_id) WHERE event_id = newest_id")
 sql("ret_gate", HITS, "SELECT question_id, episode_id FROM cd WHERE via = 'range'")
 sql("ret_tail", HITS, "SELECT question_id, episode_id, via FROM cd")
 sql("ret_stage_b", HITS, f"SELECT question_id, rank, episode_id, {R('score')} AS score FROM eh")
@@ -199,13 +206,15 @@ sql("bas_context", BAS, "SELECT question_id, window_id FROM bc")
 sql("bas_stats", BAS, f"SELECT question_id, count(*) AS recent, {C.baseline_windows}::INT AS capacity FROM bc GROUP BY question_id")
 
 DESC = f"""{HITS},
-des AS (SELECT question_id, 'pinned' AS stage, rank, window_id AS entry_id, pin.start_time, pin.end_time, w.summary_text FROM pin JOIN win w USING (window_id)
-UNION ALL SELECT ch.question_id, 'coarse', ch.rank, ch.event_id, ch.start_time, ch.end_time, e.summary_text FROM ch JOIN evs e USING (event_id)
-UNION ALL SELECT eh.question_id, 'episodic', eh.rank, eh.episode_id, eh.start_time, eh.end_time, e.summary_text FROM eh JOIN eps e USING (episode_id)
-UNION ALL SELECT gr.question_id, 'grounded', gr.rank, gr.window_id, w.start_time, w.end_time, w.summary_text FROM gr JOIN win w USING (window_id))"""
-sql("fmt_evidence_lines", DESC, "SELECT question_id, stage, rank, format('  [{:.1f}–{:.1f}s]', start_time, end_time) || CASE WHEN stage IN ('coarse', 'episodic') THEN ' sim=—' ELSE '' END || '  ' || summary_text AS line FROM des")
-sql("fmt_llm_counts", DESC, """SELECT question_id, count(*) FILTER (stage <> 'coarse') AS n_visual_tokens, count(*) FILTER (stage = 'coarse') AS coarse_event_count, count(*) FILTER (stage = 'episodic') AS episodic_hit_count, (count(*) FILTER (stage <> 'coarse'))::INT AS n_context,
-coalesce(string_agg(stage, ',' ORDER BY CASE stage WHEN 'pinned' THEN 0 WHEN 'episodic' THEN 1 ELSE 2 END, rank) FILTER (stage <> 'coarse'), '') AS sources FROM des GROUP BY question_id""")
+des AS (SELECT question_id, 'pinned' AS stage, rank, window_id AS entry_id, pin.start_time, pin.end_time, w.summary_text, NULL::DOUBLE AS score FROM pin JOIN win w USING (window_id)
+UNION ALL SELECT ch.question_id, 'coarse', ch.rank, ch.event_id, ch.start_time, ch.end_time, e.summary_text, ch.score FROM ch JOIN evs e USING (event_id)
+UNION ALL SELECT eh.question_id, 'episodic', eh.rank, eh.episode_id, eh.start_time, eh.end_time, e.summary_text, eh.score FROM eh JOIN eps e USING (episode_id)
+UNION ALL SELECT gr.question_id, 'grounded', gr.rank, gr.window_id, w.start_time, w.end_time, w.summary_text, rh.score FROM gr JOIN win w USING (window_id) LEFT JOIN rh ON rh.question_id = gr.question_id AND rh.window_id = gr.window_id)"""
+_LINE = "format('  [{:.1f}–{:.1f}s]', start_time, end_time) || CASE WHEN stage IN ('coarse', 'episodic') THEN coalesce(format(' sim={:.3f}', score), ' sim=—') WHEN stage = 'grounded' THEN coalesce(format(' sim={:.3f}', score), '') ELSE '' END || '  ' || summary_text"
+sql("fmt_evidence_lines", DESC, f"SELECT question_id, stage, rank, {_LINE} AS line FROM des")
+_SOURCES = "coalesce(string_agg(CASE stage WHEN 'pinned' THEN 'pinned_recent' WHEN 'grounded' THEN 'grounding_window' ELSE stage END, ',' ORDER BY CASE stage WHEN 'pinned' THEN 0 WHEN 'episodic' THEN 1 ELSE 2 END, rank) FILTER (stage <> 'coarse' AND shown), '')"
+sql("fmt_llm_counts", DESC, f"""SELECT q.question_id, count(*) FILTER (stage <> 'coarse') AS n_visual_tokens, count(*) FILTER (stage = 'coarse') AS coarse_event_count, count(*) FILTER (stage = 'episodic') AS episodic_hit_count, (count(*) FILTER (stage <> 'coarse'))::INT AS n_context,
+{_SOURCES} AS sources FROM q LEFT JOIN (SELECT *, true AS shown FROM des) d ON d.question_id = q.question_id GROUP BY q.question_id""")
 FRAMES = f"""{HITS},
 fr AS (SELECT question_id, window_id, 0 AS g, rank AS r, rank FROM gr UNION ALL SELECT question_id, window_id, 1, -rank, rank FROM pin),
 fr2 AS (SELECT question_id, window_id, min((g, r, rank)) AS spot FROM fr WHERE regexp_extract(window_id, '\\d+')::BIGINT % 5 <> 0 GROUP BY ALL),

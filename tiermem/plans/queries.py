@@ -151,8 +151,15 @@ def txt_qa_convert(spark, d):
 
 @query
 def txt_literal_list(spark, d):
-    rows = [(1, "['a', 'b']"), (2, '["x"]'), (3, ""), (4, "no list"), (5, "[broken"), (6, None)]
-    return _inline(spark, rows, "id int, raw string").select("id", F.array_join(text.literal_list(F.col("raw")), "|", "NULL").alias("items"))
+    """Literals made of every event: lists with apostrophes, quotes, escapes, numbers, no items; other literals; no literals; none."""
+    k, n = F.col("event_id") % 10, F.col("event_id").cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit("['a"), n, F.lit("', 'b']"))).when(k == 1, F.concat(F.lit("[\"I don't know "), n, F.lit("\", 'say \"x\"', 'c']")))
+        .when(k == 2, F.lit("")).when(k == 3, F.concat(F.lit("no list "), n)).when(k == 4, F.concat(F.lit("[broken "), n)).when(k == 5, F.lit(None).cast("string"))
+        .when(k == 6, F.concat(F.lit("[1, "), n, F.lit(", 'x']"))).when(k == 7, F.concat(F.lit("'quoted "), n, F.lit("'"))).when(k == 8, F.lit("[]")).otherwise(F.concat(F.lit("['tab\\t it\\'s "), n, F.lit("',]")))
+    )
+    items = text.literal_list(F.col("raw"))
+    return fixtures.table(spark, d, "events").select("event_id", raw.alias("raw")).select("event_id", F.array_join(items, "|", "NULL").alias("items"), F.size(items).alias("n_items"))
 
 
 @query
@@ -377,13 +384,14 @@ def bas_stats(spark, d):
 
 @query
 def fmt_evidence_lines(spark, d):
-    """Lines of pinned and episodic hits, and of grounded ones that have no score: those without a rounding tie."""
-    return evidence.lines(evidence.described(fixtures.retrieval(spark, d)).withColumn("score", F.lit(None).cast("double"))).select("question_id", "stage", "rank", "line")
+    """Lines of all hits, with the scores of those that have one."""
+    return evidence.lines(evidence.described(fixtures.retrieval(spark, d))).select("question_id", "stage", "rank", "line")
 
 
 @query
 def fmt_llm_counts(spark, d):
-    x = evidence.llm_input(evidence.described(fixtures.retrieval(spark, d)))
+    r = fixtures.retrieval(spark, d)
+    x = evidence.llm_input(evidence.described(r), r.fired)
     return x.select("question_id", "n_visual_tokens", "coarse_event_count", "episodic_hit_count", F.size("visual_context").alias("n_context"), joined("visual_context.source").alias("sources"))
 
 
