@@ -256,7 +256,7 @@ def test_secrets_of_documents(spark):
 
 def test_secrets_lexicon(spark):
     rows = spark.createDataFrame([(1, "Alpha alpha beta été-gamma x1delta"), (2, "ALPHA beta the"), (3, None), (4, "")], "doc_id long, text string")
-    assert secrets.lexicon(rows, size=2) == ["alpha", "beta"] and "delta" in secrets.lexicon(rows) and "the" not in secrets.lexicon(rows)
+    assert secrets.lexicon(rows, size=3) == ["alpha", "beta"] == secrets.lexicon(rows, size=2) and secrets.lexicon(rows, size=1) == [] and "delta" in secrets.lexicon(rows) and "the" not in secrets.lexicon(rows)
     words = secrets.Dictionary(("alpha", "phase", "base"))
     assert words.share("alphabase") == 1.0 and words.share("alphase") == 1.0 and words.share("zzzzalpha") == 5 / 9
 

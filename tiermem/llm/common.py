@@ -89,23 +89,27 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         start = end
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and row of each word (run of bytes that are no whitespace); words never cross rows."""
-    n = len(raw)
+def runs(ink: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and row of each run of marked bytes; runs never cross rows."""
+    n = len(ink)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    ink = np.empty(n + 2, dtype=bool)
-    ink[0] = ink[-1] = False
-    np.logical_not(SPACE[raw], out=ink[1:-1])
-    first = ink[1:-1] & ~ink[:-2]
-    last = ink[1:-1] & ~ink[2:]
+    wide = np.zeros(n + 2, dtype=bool)
+    wide[1:-1] = ink
+    first = wide[1:-1] & ~wide[:-2]
+    last = wide[1:-1] & ~wide[2:]
     cuts = at[(at > 0) & (at < n)]
-    first[cuts] |= ink[1 + cuts]
-    last[cuts - 1] |= ink[cuts]
+    first[cuts] |= wide[1 + cuts]
+    last[cuts - 1] |= wide[cuts]
     s = np.flatnonzero(first)
     return s, np.flatnonzero(last) + 1, np.searchsorted(at, s, side="right") - 1
 
 
+def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and row of each word (run of bytes that are no whitespace); words never cross rows."""
+    return runs(~SPACE[raw], at)
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -4,7 +4,7 @@ Candidates: known prefixes, values assigned to credential-like names, and every
 value is too long. The forest sees the candidate's length, its character transitions, how much of it dictionary words cover, the path (source) it
 stands in, and the neighbouring words.
 
-The dictionary is the LEXICON words found in the most documents, counted over all of them, and a few words of configuration files. The forest is
+The dictionary is the words found in the most documents (LEXICON at most), counted over all of them, and a few words of configuration files. The forest is
 trained on the driver on at most TRAIN_FINDINGS made findings with known labels (fixed seed; the harmless ones partly made of the dictionary's
 words), whatever the size of the corpus. The threshold is the lowest that meets PRECISION on findings held out; it has no other bound.
 
@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import drop_materialized, materialize, runs, utf8
 from .trees import Forest, forest, precise_threshold
 
 #: Made findings that the forest is trained and its threshold calibrated on.
 TRAIN_FINDINGS = 9000
 PRECISION = 0.99
 CONTEXT = 32
-#: Words of the dictionary: those found in the most documents, ties by the alphabet. So what is sent to tasks is bounded at any scale.
-LEXICON = 20_000
+#: Words of the dictionary at most: those found in the most documents. So what is sent to tasks is bounded at any scale.
+LEXICON, STEP = 20_000, 64
 #: Letters of a dictionary word.
 SHORTEST, LONGEST = 4, 24
 #: Candidates that are scored at once.
@@ -63,10 +63,20 @@ _OPERATORS[list(b"=:")] = True
 
 
 def lexicon(docs: DataFrame, text: str = "text", size: int = LEXICON) -> list[str]:
-    """The words (runs of SHORTEST to LONGEST letters, lowered) that the most documents hold, counted over whole texts of all documents."""
+    """The words (runs of SHORTEST to LONGEST letters, lowered) that the most documents hold, counted over whole texts of all documents: those in at least
+    so many documents that no more than size words are left. That number is sought in steps of a STEP-th of a doubling, so only those words leave the tasks."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: F.length(w).between(SHORTEST, LONGEST)))
-    found = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "w").limit(size)
-    return [r.w for r in found.collect()]
+    found = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("step", F.floor(F.log2("n") * STEP).cast("int"))
+    found = materialize(found, "lexicon")
+    least, left = 0, size
+    for r in found.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect():  # 64 * STEP rows at most
+        if r.n > left:
+            least = r.step + 1
+            break
+        left -= r.n
+    out = sorted(r.w for r in found.where(F.col("step") >= least).select("w").collect())
+    drop_materialized(found)
+    return out
 
 
 class Dictionary:
@@ -120,17 +130,13 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
 
 def may_hold(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which texts hold an operator, a long enough run of token characters or five dashes: no generator matches without one."""
-    n = len(raw)
-    seen = np.zeros(n + 1, np.int64)
-    mask = _OPERATORS[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], _TOKEN[raw], [False]]).astype(np.int8)))
-    first, last = edge[::2], edge[1::2]
-    long_ = last - first >= 5  # a run may go over the border of two texts, and then marks both
-    for a, b in zip(first[long_].tolist(), last[long_].tolist(), strict=True):
-        if b - a >= KNOWN_RUN or (raw[a:b] == 0x2D).sum() >= 5:
-            mask[a:b] = True
-    np.cumsum(mask, out=seen[1:])
-    return seen[at[1:]] > seen[at[:-1]]
+    seen = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(_OPERATORS[raw], out=seen[1:])
+    may = seen[at[1:]] > seen[at[:-1]]
+    for marked, least in ((_TOKEN[raw], KNOWN_RUN), (raw == 0x2D, 5)):
+        first, end, row = runs(marked, at)
+        may[row[end - first >= least]] = True
+    return may
 
 
 def features(text: str, start: int, end: int, g: int, path: str, words: Dictionary) -> list[float]:
