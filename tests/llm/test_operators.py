@@ -64,6 +64,17 @@ def test_suffix_dedup_on_documents(spark):
     assert _sorted([tuple(r)[:5] for r in suffixes.dedup(docs).collect()]) == _sorted(brute.repeats(rows))
 
 
+def test_suffix_dedup_with_hot_anchors(spark, monkeypatch):
+    """Passages between unlike neighbours, in many documents and blocks: every anchor beyond a few entries is given up, and nothing changes."""
+    rows = [(i, _text(R.randint(1, 12)) + PASSAGE[R.randint(0, 40) :] + _text(R.randint(1, 12)) + (BASE if i % 7 == 0 else "")) for i in range(120)] + [(None, PASSAGE), (5, PASSAGE), (200, "a" * 300), (201, "xa" + "a" * 200), (202, None)]
+    want = _sorted(brute.repeats(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert _sorted([tuple(r)[:5] for r in suffixes.dedup(df).collect()]) == want
+    for limit in (2, 30):
+        monkeypatch.setattr(suffixes, "hot_limit", lambda n, limit=limit: limit)
+        assert _sorted([tuple(r)[:5] for r in suffixes.dedup(df).collect()]) == want
+
+
 def test_loser_tree_merges_and_keeps_prefixes():
     def shared(a, b):
         n = 0

@@ -12,8 +12,12 @@ all repeats. Consecutive strings with one anchor make an entry: the suffix from
    where they are equal compares from there on only. The merge yields the common prefixes of neighbours, which bound which strings can repeat.
 4. Each run gets back which of its entries' strings start in a smaller document; blocks turn that into spans.
 
+Where a passage that very many documents share begins or ends, as many unlike entries have one anchor, and would all be merged in one task. So anchors'
+entries are counted too, and an anchor with more than hot_limit() of them is given up: all its strings become suffixes of their own, of which those seen in
+one document go, equal ones of a block are exchanged once, and the others are spread by their hash. So no group grows but with the number of blocks.
+
 Defined cases: null and empty texts have no bytes; texts shorter than LENGTH lose nothing; rows with equal ids never remove from each other;
-a null id counts as larger than all; repeated rows each get a row; an empty table gives no rows; other columns are ignored. A text is held whole in
+a null id counts as larger than all; within a block, strings of a given-up anchor are compared by 64-bit hashes; repeated rows each get a row; an empty table gives no rows; other columns are ignored. A text is held whole in
 one task, as a row is."""
 
 from __future__ import annotations
@@ -24,11 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .blocks import EXTRA, KEY_BITS, NO_ID, PARTS, REPLY, count_rows, counted, each_block, n_buckets, opened, pack, parts, unzip, with_blocks, zip_
-from .common import MIX, drop_materialized, materialize, mixed, powers, release
+from .blocks import EXTRA, KEY_BITS, MOST, NO_ID, PARTS, REPLY, count_rows, counted, each_block, n_buckets, opened, pack, parts, unzip, with_blocks, zip_
+from .common import MIX, drop_materialized, materialize, mixed, powers, release, word_hashes
 
 LENGTH, SEED = 50, 20
+#: An anchor with more unlike entries than this, or than four for each block, is given up for its strings.
+HOT = 4096
+HOT_REPLY, HOT_EXTRA = -2, -1
 #: Starts of strings that are worked on at once.
 PIECE = 1 << 17
 #: Low bits of a hash that give way to the position when the least is sought.
@@ -37,24 +45,27 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.string())])
 
 
-def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, first and last start of the strings that have it, row, and the anchor's 48-bit key: one for each run of strings with one anchor.
+def hot_limit(n_blocks: int) -> int:
+    return min(MOST - 1, max(HOT, 4 * n_blocks))
+
+
+def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchor, first and last start of the strings that have it, row, the anchor's 48-bit key, and a hash of the entry: one for each run of strings with one anchor.
     Worked out PIECE starts at a time, which bounds the memory; a run that goes over the border of two pieces is two."""
     got = [_anchors(raw[a : a + PIECE + LENGTH - 1], at[(at > a) & (at < a + PIECE + LENGTH - 1)] - a, a) for a in range(0, max(1, len(raw) - LENGTH + 1), PIECE)]
-    anchor, first, last, key = (np.concatenate(x) for x in zip(*got, strict=True))
-    return anchor, first, last, np.searchsorted(at, first, side="right") - 1, key
+    anchor, first, last, key, entry = (np.concatenate(x) for x in zip(*got, strict=True))
+    return anchor, first, last, np.searchsorted(at, first, side="right") - 1, key, entry
 
 
-def _anchors(raw: np.ndarray, borders: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(raw: np.ndarray, borders: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, none = len(raw), np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     up, down = powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         h = mixed((total[SEED:] - total[:-SEED]) * down[: n - SEED + 1])
-    del total
     low = ((h >> PLACE) << PLACE) | np.arange(len(h), dtype=np.uint64)
     width, have = LENGTH - SEED + 1, 1
     while have * 2 <= width:
@@ -69,33 +80,39 @@ def _anchors(raw: np.ndarray, borders: np.ndarray, offset: int) -> tuple[np.ndar
     np.add.at(whole, borders, -1)
     starts = np.flatnonzero(np.cumsum(whole)[: len(place)] == 0)  # strings that cross no border of documents
     if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     p = place[starts]
     new = np.append(True, (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     a = p[new]
+    with np.errstate(over="ignore"):
+        entry = mixed((total[last + LENGTH] - total[first]) * down[first] + ((last - first) * LENGTH + a - first).astype(np.uint64) * MIX)
     # hashed anew, as anchors' hashes are all small
-    return a + offset, first + offset, last + offset, mixed(h[a] ^ MIX) >> (np.uint64(64) - KEY_BITS)
+    return a + offset, first + offset, last + offset, mixed(h[a] ^ MIX) >> (np.uint64(64) - KEY_BITS), entry
 
 
-def _distinct_counts(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and in how many documents (2 stands for more) each is found."""
-    order = np.argsort(keys, kind="stable")
+def _distinct_counts(keys: np.ndarray, ids: np.ndarray, entries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how many unlike entries each has, or 2 where it has fewer but is found in more than one document."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    order = np.lexsort((entries, keys)) if entries is not None else np.argsort(keys, kind="stable")
     k, d = keys[order], ids[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    if not len(first):
-        return k, np.zeros(0, np.int64)
-    many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-    return k[first], 1 + many
+    new = np.append(True, k[1:] != k[:-1])
+    first = np.flatnonzero(new)
+    count = 1 + (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first))
+    if entries is not None:
+        e = entries[order]
+        count = np.maximum(count, np.add.reduceat((new | np.append(True, e[1:] != e[:-1])).astype(np.int64), first))
+    return k[first], count
 
 
 def _count(buckets: int):
     def work(block: int, row: dict) -> Iterator[pa.RecordBatch]:
         ids, at, raw = opened(row)
-        a, _, _, doc, key = anchors(raw, at)
+        a, _, _, doc, key, entry = anchors(raw, at)
         if len(a):
-            yield parts(list(count_rows(block, *_distinct_counts(key, ids[doc]), buckets)))
+            yield parts(list(count_rows(block, *_distinct_counts(key, ids[doc], entry), buckets)))
 
     return work
 
@@ -200,15 +217,88 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
             node >>= 1
 
 
-def _entries(buckets: int):
+def _string_hashes(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings that begin at the given places, PIECE places at a time."""
+    h, order = np.zeros(len(start), np.uint64), np.argsort(start, kind="stable")
+    at = start[order]
+    for x in range(0, int(at[-1]) + 1 if len(at) else 0, PIECE):
+        i, j = np.searchsorted(at, (x, x + PIECE))
+        if i < j:
+            h[order[i:j]] = word_hashes(raw[x : x + PIECE + LENGTH], at[i:j] - x, at[i:j] - x + LENGTH)
+    return h
+
+
+def _hot_strings(block: int, raw: np.ndarray, first: np.ndarray, last: np.ndarray, who: np.ndarray, buckets: int) -> list[tuple]:
+    """Of all strings of given-up anchors: the counts of their keys, and where they stand."""
+    n = last - first + 1
+    start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    who = np.repeat(who, n)
+    h = _string_hashes(raw, start)
+    key = h >> (np.uint64(64) - KEY_BITS)
+    # one of each string of the block, in order of its hash and so of its key
+    order = np.lexsort((who, h))
+    new = np.append(True, h[order][1:] != h[order][:-1])
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    chief = order[new]
+    small = who > who[chief][group]
+    local = [start[chief], who[chief], start, group, small.astype(np.int64)]
+    sizes = np.array([len(chief), len(start)], np.int64)
+    return [*((b, HOT_REPLY, k, d) for b, _, k, d in count_rows(block, *_distinct_counts(key, who), buckets)), (block, HOT_EXTRA, -1, zip_(b"".join(x.tobytes() for x in (sizes, *local))))]
+
+
+def _hot_local(data: bytes) -> list[np.ndarray]:
+    """Start and least id of each string, then start, string and whether a smaller document of the block has it, of each place."""
+    whole = np.frombuffer(unzip(data), np.int64)
+    m, n = whole[:2].tolist()
+    return np.split(whole[2:], np.cumsum([m, m, n, n]))
+
+
+def _hot_entries(buckets: int):
+    def work(block: int, row: dict, got: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        local = [d for kind, _, d in got if kind == HOT_EXTRA]
+        if not local:
+            return
+        raw = opened(row)[2]
+        chief, least, start, group, small = _hot_local(local[0])
+        key = _string_hashes(raw, chief) >> (np.uint64(64) - KEY_BITS)
+        df = np.concatenate([np.frombuffer(unzip(d), np.uint16) for kind, _, d in got if kind == REPLY])
+        live = np.flatnonzero(df[np.searchsorted(np.unique(key), key)] > 1)
+        data = raw.tobytes()
+        strings = [data[x : x + LENGTH] for x in chief[live].tolist()]
+        bucket = np.searchsorted(np.array([(i << 48) // buckets for i in range(buckets)], np.uint64), key[live], side="right") - 1
+        order = sorted(range(len(live)), key=lambda i: (bucket[i], strings[i]))
+        entry = np.full(len(chief), -1, np.int64)
+        entry[live[order]] = np.arange(len(order))
+        rows = [(block, HOT_EXTRA, -1, zip_(np.concatenate([[len(start)], start, entry[group], small]).astype(np.int64).tobytes()))]
+        sorted_bucket = bucket[order]
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(sorted_bucket) != 0)), len(order)) if len(order) else [0]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            part = order[x:y]
+            rows.append((block, HOT_REPLY, int(sorted_bucket[x]), front_coded([strings[i] for i in part], [b""] * len(part), least[live[part]].tolist())))
+        yield parts(rows)
+
+    return work
+
+
+def _hottest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(unzip(d), np.uint16).max(initial=0)) for d in batch.column(0).to_pylist()], pa.int64())], names=["most"])
+
+
+def _entries(buckets: int, limit: int):
     def work(block: int, row: dict, got: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         ids, at, raw = opened(row)
-        a, first, last, doc, key = anchors(raw, at)
+        a, first, last, doc, key, _ = anchors(raw, at)
         if not len(a):
             return
         df = np.concatenate([np.frombuffer(unzip(d), np.uint16) for kind, _, d in got if kind == REPLY])
         names = np.unique(key)
-        live = df[np.searchsorted(names, key)] > 1
+        df = df[np.searchsorted(names, key)]
+        hot = df > limit
+        if hot.any():
+            yield parts(_hot_strings(block, raw, first[hot], last[hot], ids[doc[hot]], buckets))
+        live = (df > 1) & ~hot
         a, first, last, doc, key = a[live], first[live], last[live], doc[live], key[live]
         if not len(a):
             return
@@ -288,28 +378,31 @@ def covered(group: list[tuple[bytes, int, bytes, int]]) -> list[int]:
     return out
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """One bucket: merge its runs, find what repeats, and answer each run."""
-    runs = [run_of(d) for d in table.column("data").to_pylist()]
-    answer = [np.zeros(len(r[0]), np.uint32) for r in runs]
-    group: list[tuple[bytes, int, bytes, int]] = []
-    where: list[tuple[int, int]] = []
+def _merged(least_shared: int, kind: int):
+    def work(table: pa.Table) -> pa.Table:
+        """One bucket: merge its runs, find what repeats among strings that share so many bytes, and answer each run."""
+        runs = [run_of(d) for d in table.column("data").to_pylist()]
+        answer = [np.zeros(len(r[0]), np.uint32) for r in runs]
+        group: list[tuple[bytes, int, bytes, int]] = []
+        where: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(group) > 1:
+                for (r, i), bits in zip(where, covered(group), strict=True):
+                    if bits:
+                        answer[r][i] = bits
+            group.clear()
+            where.clear()
+
+        for r, i, shared in merged([(r[0], r[1]) for r in runs]):
+            if shared < least_shared:
+                close()
+            group.append((runs[r][0][i], shared, runs[r][2][i], runs[r][3][i]))
+            where.append((r, i))
+        close()
+        return pa.Table.from_batches([parts([(b, kind, k, zip_(x.tobytes())) for b, k, x in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), answer, strict=True)])])
 
-    def close() -> None:
-        if len(group) > 1:
-            for (r, i), bits in zip(where, covered(group), strict=True):
-                if bits:
-                    answer[r][i] = bits
-        group.clear()
-        where.clear()
-
-    for r, i, shared in merged([(r[0], r[1]) for r in runs]):
-        if shared < SEED:
-            close()
-        group.append((runs[r][0][i], shared, runs[r][2][i], runs[r][3][i]))
-        where.append((r, i))
-    close()
-    return pa.Table.from_batches([parts([(b, REPLY, k, zip_(x.tobytes())) for b, k, x in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), answer, strict=True)])])
+    return work
 
 
 def _spans(block: int, row: dict, got: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +423,15 @@ def _spans(block: int, row: dict, got: list[tuple[int, int, bytes]]) -> Iterator
             if len(p):
                 edge += np.bincount(p, minlength=n + 1) - np.bincount(p + LENGTH, minlength=n + 1)
         gone = np.cumsum(edge)[:n] > 0
+    hot = [unzip(d) for kind, _, d in got if kind == HOT_EXTRA]
+    if hot:
+        whole = np.frombuffer(hot[0], np.int64)
+        start, entry, small = np.split(whole[1:], 3)
+        found = [np.frombuffer(unzip(d), np.uint32) for kind, _, d in got if kind == HOT_REPLY]
+        bits = np.append(np.concatenate(found) if found else np.zeros(0, np.uint32), np.uint32(0))  # the last for strings of no other document
+        start = start[(small > 0) | (bits[entry] > 0)]
+        edge = np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
+        gone = gone | (np.cumsum(edge)[:n] > 0)
     total = np.zeros(n + 1, np.int64)
     np.cumsum(gone, out=total[1:])
     removed = total[at[1:]] - total[at[:-1]]
@@ -353,13 +455,23 @@ def _spans(block: int, row: dict, got: list[tuple[int, int, bytes]]) -> Iterator
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start:end in bytes, comma-joined) of every document."""
+    spark = docs.sparkSession
     blocks = pack(docs, doc_id, text)
-    buckets = n_buckets(blocks)
+    buckets, limit = n_buckets(blocks), hot_limit(blocks.count())
     replies = materialize(counted(each_block(blocks, _count(buckets), PARTS)), "suffix-counts")
-    release(blocks.sparkSession)
-    runs = materialize(with_blocks(blocks, replies, _entries(buckets), PARTS), "suffix-runs")
+    hottest = replies.select("data").mapInArrow(_hottest, "most long").agg(F.max("most")).first()[0] or 0
+    release(spark)
+    runs = materialize(with_blocks(blocks, replies, _entries(buckets, limit), PARTS), "suffix-runs")
     drop_materialized(replies)
-    release(blocks.sparkSession)
-    answers = materialize(runs.where(f"kind = {REPLY}").groupBy("bucket").applyInArrow(_merge, PARTS), "suffix-answers")
-    release(blocks.sparkSession)
-    return with_blocks(blocks, answers.union(runs.where(f"kind = {EXTRA}")), _spans, RESULT)
+    release(spark)
+    answers = materialize(runs.where(f"kind = {REPLY}").groupBy("bucket").applyInArrow(_merged(SEED, REPLY), PARTS), "suffix-answers")
+    release(spark)
+    told = answers.union(runs.where(f"kind = {EXTRA}"))
+    if hottest > limit:
+        again = counted(runs.where(f"kind = {HOT_REPLY}")).union(runs.where(f"kind = {HOT_EXTRA}"))
+        some = blocks.join(runs.where(f"kind = {HOT_EXTRA}").select("block"), "block", "left_semi")
+        hot = materialize(with_blocks(some, again, _hot_entries(buckets), PARTS), "suffix-hot")
+        release(spark)
+        told = told.union(materialize(hot.where(f"kind = {HOT_REPLY}").groupBy("bucket").applyInArrow(_merged(LENGTH, HOT_REPLY), PARTS), "suffix-hot-answers")).union(hot.where(f"kind = {HOT_EXTRA}"))
+        release(spark)
+    return with_blocks(blocks, told, _spans, RESULT)
