@@ -96,14 +96,24 @@ def _distinct_counts(keys: np.ndarray, ids: np.ndarray, entries: np.ndarray | No
     """Sorted distinct keys, and how many unlike entries each has, or 2 where it has fewer but is found in more than one document."""
     if not len(keys):
         return keys, np.zeros(0, np.int64)
-    order = np.lexsort((entries, keys)) if entries is not None else np.argsort(keys, kind="stable")
-    k, d = keys[order], ids[order]
-    new = np.append(True, k[1:] != k[:-1])
-    first = np.flatnonzero(new)
-    count = 1 + (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first))
-    if entries is not None:
-        e = entries[order]
-        count = np.maximum(count, np.add.reduceat((new | np.append(True, e[1:] != e[:-1])).astype(np.int64), first))
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(np.append(first, len(k)))
+    count = np.ones(len(first), np.int64)
+    many = np.flatnonzero(size > 1)  # the others, most of all, have one entry in one document
+    if len(many):
+        part = order[np.repeat(size > 1, size)]
+        begin = np.append(0, np.cumsum(size[many])[:-1])
+        d = ids[part]
+        count[many] += np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+        if entries is not None:
+            group = np.repeat(np.arange(len(many)), size[many])
+            by = np.lexsort((entries[part], group))
+            e = entries[part][by]
+            new = np.append(True, e[1:] != e[:-1])
+            new[begin] = True
+            count[many] = np.maximum(count[many], np.add.reduceat(new.astype(np.int64), begin))
     return k[first], count
 
 
@@ -409,6 +419,7 @@ def _spans(block: int, row: dict, got: list[tuple[int, int, bytes]]) -> Iterator
     ids, at, raw = opened(row)
     n = len(raw)
     gone = np.zeros(n, bool)
+    begun = np.zeros(n, bool)  # where a string starts that a smaller document has; every place starts one string at most
     extra = [unzip(d) for kind, _, d in got if kind == EXTRA]
     if extra:
         m = int.from_bytes(extra[0][:4], "little")
@@ -416,22 +427,24 @@ def _spans(block: int, row: dict, got: list[tuple[int, int, bytes]]) -> Iterator
         first, back, wide = np.cumsum(take(np.int32, 0), dtype=np.int64), take(np.uint8, 4).astype(np.int64), take(np.uint8, 5).astype(np.int64)
         entry, small = take(np.int32, 6), take(np.uint8, 10) > 0
         bits = np.concatenate([np.frombuffer(unzip(d), np.uint32) for kind, _, d in got if kind == REPLY])[entry]
-        edge = np.bincount(first[small], minlength=n + 1).astype(np.int64) - np.bincount((first + wide + LENGTH)[small], minlength=n + 1)
-        bits, anchor = bits[~small], (first + back)[~small]
-        for o in range(LENGTH - SEED + 1):
-            p = anchor[(bits >> np.uint32(o)) & np.uint32(1) > 0] - o
-            if len(p):
-                edge += np.bincount(p, minlength=n + 1) - np.bincount(p + LENGTH, minlength=n + 1)
-        gone = np.cumsum(edge)[:n] > 0
+        if small.any():
+            edge = np.bincount(first[small], minlength=n + 1) - np.bincount((first + wide + 1)[small], minlength=n + 1)
+            begun |= np.cumsum(edge)[:n] > 0
+        some = ~small & (bits > 0)
+        bits, anchor = bits[some], (first + back)[some]
+        for o in range(LENGTH - SEED + 1) if len(bits) else ():
+            begun[anchor[(bits >> np.uint32(o)) & np.uint32(1) > 0] - o] = True
     hot = [unzip(d) for kind, _, d in got if kind == HOT_EXTRA]
     if hot:
         whole = np.frombuffer(hot[0], np.int64)
         start, entry, small = np.split(whole[1:], 3)
         found = [np.frombuffer(unzip(d), np.uint32) for kind, _, d in got if kind == HOT_REPLY]
         bits = np.append(np.concatenate(found) if found else np.zeros(0, np.uint32), np.uint32(0))  # the last for strings of no other document
-        start = start[(small > 0) | (bits[entry] > 0)]
-        edge = np.bincount(start, minlength=n + 1) - np.bincount(start + LENGTH, minlength=n + 1)
-        gone = gone | (np.cumsum(edge)[:n] > 0)
+        begun[start[(small > 0) | (bits[entry] > 0)]] = True
+    if begun.any():
+        gone = np.cumsum(begun, dtype=np.int32)
+        gone[LENGTH:] -= gone[:-LENGTH].copy()
+        gone = gone > 0
     total = np.zeros(n + 1, np.int64)
     np.cumsum(gone, out=total[1:])
     removed = total[at[1:]] - total[at[:-1]]
