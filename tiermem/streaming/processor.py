@@ -213,8 +213,11 @@ def _plain(v):
     return None if v is None or isinstance(v, float) and np.isnan(v) else v.tolist() if isinstance(v, np.ndarray) else v
 
 
-def process(rows: DataFrame, config: Config, archive_limit: int | None = None, event_limit: int | None = None) -> DataFrame:
-    """Rows of INPUT, streaming or batch, to rows of OUTPUT in append mode."""
+def process(rows: DataFrame, config: Config, archive_limit: int | None = None, event_limit: int | None = None, forget_ended: bool = False) -> DataFrame:
+    """Rows of INPUT, streaming or batch, to rows of OUTPUT in append mode.
+
+    forget_ended: a stream's state is removed with its "end" row, once the questions that wait are answered; questions that come later still are then
+    taken for a new stream's. Else ended streams are kept, and answer."""
     names = [x.split()[0] for x in OUTPUT.split(", ")]
     settings = asdict(config)
 
@@ -223,7 +226,11 @@ def process(rows: DataFrame, config: Config, archive_limit: int | None = None, e
         records = [{k: _plain(v) for k, v in r.items()} for f in frames for r in f.to_dict("records")]
         records.sort(key=lambda r: (r["time"], _ORDER[r["kind"]], r["window_ord"] or 0, r["id"] or ""))
         out = memory.take(records)
-        state.update((json.dumps(memory.s),))
+        if forget_ended and memory.s["ended"]:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(memory.s),))
         if out:
             yield pd.DataFrame([(key[0], *r) for r in out], columns=names).astype({"ord": "Int64"})
 
