@@ -25,7 +25,7 @@ sql("snk_trace", f"{o.F1}, {o.QUESTIONS}", "SELECT 'What happens at ' || k || '?
 
 sql("win_entries", o.F2, "SELECT stream_id, window_ord, 'w-' || stream_id || '-' || window_ord AS window_id, start_time, end_time, 'recent' AS tier, true AS bare FROM bounded")
 sql("vec_codec", "", f"SELECT vec_id, (4 * len(embedding))::INT AS n_bytes, {R('embedding[1]::FLOAT::DOUBLE')} AS first, {R('list_sum(list_transform(embedding, lambda x: abs(x::FLOAT)::DOUBLE))')} AS v_abs FROM embeddings")
-sql("sum_dispatch", "n AS (SELECT l_orderkey, list('line: ' || l_linenumber ORDER BY l_linenumber) AS notes, list('[' || rn || '/' || m || '] line: ' || l_linenumber ORDER BY l_linenumber) AS tags, count(*)::DOUBLE AS c FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) GROUP BY l_orderkey)", """SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN CASE WHEN c = 1 THEN notes[1] ELSE format('Episode 0.0–{:.1f}s: ', c) || array_to_string(notes, '; ') END
+sql("sum_dispatch", "n AS (SELECT l_orderkey, list('line: ' || l_linenumber ORDER BY l_linenumber) AS notes, list('[' || rn || '/' || m || '] line: ' || l_linenumber ORDER BY rn) AS tags, count(*)::DOUBLE AS c FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) GROUP BY l_orderkey)", """SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN CASE WHEN c = 1 THEN notes[1] ELSE format('Episode 0.0–{:.1f}s: ', c) || array_to_string(notes, '; ') END
 WHEN 1 THEN format('Event 0.0–{:.1f}s: ', c) || array_to_string(list_transform(notes[1:5], lambda x: 'line'), ' → ') ELSE format('Memory 0.0–{:.1f}s', c) END AS summary, array_to_string(tags, chr(10) || chr(10)) AS tagged FROM n""")
 sql("sum_fusion_lines", EVENTS, "SELECT stream_id, event_ord, string_agg(format('- Scene {} [{:.1f}s–{:.1f}s]: ', rn, start_time, end_time) || summary_text, chr(10) ORDER BY rn) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, event_ord ORDER BY episode_ord) AS rn FROM (SELECT stream_id, event_ord, episode_ord, start_time, end_time, summary_text FROM clu)) WHERE rn <= 8 GROUP BY ALL")
 sql("sum_written", POOL, "SELECT stream_id, episode_ord, CASE WHEN start_time % 2 = 0 THEN format('at {:.1f}', start_time) ELSE summary_text END AS summary_text, CASE WHEN start_time % 2 = 0 THEN length(format('at {:.1f}', start_time))::DOUBLE END AS encoded FROM eps")
