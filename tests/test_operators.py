@@ -179,6 +179,21 @@ def test_clamped_late_questions(spark):
     assert late.where("score <> 0").count() > 0
 
 
+def test_dropped_stages_are_made_anew(spark):
+    """drop() deletes what the stages wrote, and not the caller's own table; nothing is worked out before it is used."""
+    from tiermem.sources import staging
+
+    base = staging.staged(fixtures.windows(spark, SF), "stream")
+    r = retrieval.Retrieval(fixtures.questions(base), base, fixtures.CONFIG)
+    assert r.written() == [base._tm_staged]
+    before = sorted(map(str, r.events.select("event_id", "start_time").collect()))
+    paths = r.written()
+    assert len(paths) > 1 and "state" not in vars(r)
+    r.drop()
+    assert [staging.exists(spark, p) for p in paths] == [p == base._tm_staged for p in paths]
+    assert sorted(map(str, r.events.select("event_id", "start_time").collect())) == before
+
+
 def test_empty_records(spark):
     none = spark.createDataFrame([], "task_type string, hierarchical struct<correct:boolean>, baseline struct<correct:boolean>")
     assert evaluation.accuracy(none).first().n_qas == 0 and evaluation.accuracy(none).first().hier_accuracy is None

@@ -99,11 +99,13 @@ class Retrieval:
 
     def _staged(self, df: DataFrame, tag: str) -> DataFrame:
         out = staged(df, tag)
-        self._written.append(out)
+        if out is not df:  # what the caller staged is the caller's to delete
+            self._written.append(out)
         return out
 
     def written(self) -> list[str]:
-        return [d._tm_staged for d in self._written]
+        """The paths that the stages worked out so far are read from."""
+        return [d._tm_staged for d in (self._windows, *self._written) if hasattr(d, "_tm_staged")]
 
     def drop(self) -> None:
         """Delete the staged tables; the stages are worked out anew when they are next used."""
