@@ -1,5 +1,6 @@
 """The streaming memory against the batch plans, and the batch formulas against step-by-step simulation."""
 
+import json
 import random
 
 import numpy as np
@@ -73,6 +74,47 @@ def test_formulas_equal_simulation(spark, cut):
     assert got == _batch(Retrieval(q, w, config))
 
 
+@pytest.mark.parametrize("limit", [None, 1, 5])
+def test_archive_holds_the_last_promoted(limit):
+    """Grounded members of episodes against an archive kept as a list; the open episode's own windows are always there."""
+    rng = random.Random(9)
+    config = Config(recent_capacity=2, novelty_threshold=0.01, episode_max_gap=50, episode_min_sim=-1, episode_max_len=4, episodic_capacity=50, episodic_merge_batch=3, top_k=3, neighbor_radius=9, cut_on_query=False, n_rep_windows=2)
+    m, promoted, members, reps, seen = processor.Memory(config, archive_limit=limit), [], {}, {}, 0
+    for i in range(60):
+        v = [rng.gauss(0, 1) for _ in range(3)]
+        row = {"kind": "window", "time": i + 1.0, "id": f"w{i}", "window_ord": i, "start_time": float(i), "end_time": i + 1.0, "vector": v, "text_vector": None}
+        ask = {"kind": "question", "time": i + 1.0, "id": f"q{i}", "window_ord": None, "start_time": None, "end_time": None, "vector": v, "text_vector": None}
+        out = m.take([row, ask])
+        promoted += [r[1] for r in out if r[0] == "window" and r[7] == "promoted"]
+        members |= {r[1]: r[5].split(",") for r in out if r[0] == "episode"}
+        reps |= {r[1]: r[7].split(",") for r in out if r[0] == "episode"}
+        pending = [w["id"] for w in m.s["pending"]]
+        have = set(promoted[-limit:] if limit else promoted) | set(pending)
+        recent = {r[5] for r in out if r[0] == "hit:recent"}
+        want = set()
+        for r in out:
+            if r[0] == "hit:episodic":
+                # the radius reaches over a whole episode, so one representative that is left brings all members that are
+                is_open = r[5].startswith("ep-pending")
+                left = have & set(pending if is_open else members[r[5]])
+                want |= left if is_open or left & set(reps[r[5]]) else set()
+        got = {r[5] for r in out if r[0] == "hit:grounded"}
+        assert got - recent == want - recent
+        seen += len(got)
+    assert seen
+
+
+def test_state_does_not_grow_with_the_archive():
+    """Windows that one episode after the other takes leave nothing but what capacities and event_limit allow."""
+    config = Config(recent_capacity=3, novelty_threshold=0.0, episode_max_len=2, episodic_capacity=4, episodic_merge_batch=2)
+    sizes = []
+    for n in (200, 800):
+        m, rng = processor.Memory(config, event_limit=5), random.Random(3)
+        m.take([{"kind": "window", "time": i + 1.0, "id": f"w{i % 100}", "window_ord": i, "start_time": float(i), "end_time": i + 1.0, "vector": [rng.gauss(0, 1) for _ in range(4)], "text_vector": None} for i in range(n)])
+        sizes.append(len(json.dumps(m.s)))
+    assert sizes[1] < sizes[0] * 1.5
+
+
 def test_late_windows_are_counted():
     m = processor.Memory(Config())
     m.take([{"kind": "window", "time": 5.0, "id": "a", "window_ord": 1, "start_time": 3.0, "end_time": 5.0, "vector": [1.0], "text_vector": None}])

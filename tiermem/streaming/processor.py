@@ -2,7 +2,8 @@
 
 Rows of a micro-batch are taken in order of (time, kind), windows before questions of the same time. A window older than the last one taken is late: it
 is counted and otherwise ignored. An "end" row drains the memory and answers what is left. State is one record for each stream, in the state store, and
-survives restarts by the checkpoint. The archive and the long-term events grow with the stream; archive_limit and event_limit bound them where asked."""
+survives restarts by the checkpoint. Of the archive nothing is kept: promoted windows are numbered, so that which of them it still has follows from their
+number. Only the long-term events grow with the stream; event_limit bounds them, and archive_limit the archive, where asked."""
 
 from __future__ import annotations
 
@@ -37,7 +38,7 @@ class Memory:
 
     def __init__(self, config: Config, state: dict[str, Any] | None = None, archive_limit: int | None = None, event_limit: int | None = None) -> None:
         self.c, self.archive_limit, self.event_limit = config, archive_limit, event_limit
-        self.s = state or {"recent": [], "pending": [], "episodes": [], "events": [], "archive": {}, "waiting": [], "n_windows": 0, "n_promoted": 0, "n_late": 0, "n_episodes": 0, "n_events": 0, "last": None, "ended": False}
+        self.s = state or {"recent": [], "pending": [], "episodes": [], "events": [], "waiting": [], "n_windows": 0, "n_promoted": 0, "n_late": 0, "n_episodes": 0, "n_events": 0, "last": None, "ended": False}
 
     # windows
 
@@ -63,11 +64,9 @@ class Memory:
         new = best is None or 1 - best > self.c.novelty_threshold
         out = [("window", w["id"], w["ord"], w["start"], w["end"], None, best, "promoted" if new else "discarded")]
         if new:
+            w["nth"] = s["n_promoted"]
             s["n_promoted"] += 1
             out += self._join(w, v)
-            s["archive"][w["id"]] = w
-            if self.archive_limit and len(s["archive"]) > self.archive_limit:
-                del s["archive"][next(iter(s["archive"]))]
         return out
 
     def _join(self, w: dict[str, Any], v: np.ndarray) -> list[tuple]:
@@ -93,7 +92,7 @@ class Memory:
             weights = e / (e.sum() + EPS)
             pool = _unit(weights @ vs)
         reps = sorted(sorted(range(len(p)), key=lambda i: (weights[i], i), reverse=True)[: self.c.n_rep_windows or None])
-        return {"id": name, "start": p[0]["start"], "end": p[-1]["end"], "v": pool.tolist(), "members": [w["id"] for w in p], "reps": [p[i]["id"] for i in reps], "rep_v": [p[i]["v"] for i in reps], "t": p[reps[0]]["t"]}
+        return {"id": name, "first": p[0]["nth"], "start": p[0]["start"], "end": p[-1]["end"], "v": pool.tolist(), "members": [w["id"] for w in p], "reps": [p[i]["id"] for i in reps], "rep_v": [p[i]["v"] for i in reps], "t": p[reps[0]]["t"]}
 
     def flush(self) -> list[tuple]:
         s = self.s
@@ -161,8 +160,10 @@ class Memory:
         return out
 
     def _near_reps(self, e: dict[str, Any]) -> list[str]:
-        """The representatives and their neighbours among the members that the archive still has."""
-        have = [i for i in e["members"] if i in self.s["archive"] or any(w["id"] == i for w in self.s["pending"])]
+        """The representatives and their neighbours among the members that the archive still has; the open episode has all of its own."""
+        is_open = bool(self.s["pending"]) and e["first"] == self.s["pending"][0]["nth"]
+        gone = self.s["n_promoted"] - self.archive_limit - e["first"] if self.archive_limit and not is_open else 0
+        have = e["members"][max(0, gone) :]
         if not e["reps"]:
             k, d = len(have) // 2, self.c.neighbor_radius
             return have if d < 0 or len(have) <= 2 * d + 1 else have[max(0, k - d) : k + d + 1]
