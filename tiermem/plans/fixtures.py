@@ -12,6 +12,8 @@ from ..sources.staging import exists, staged, stamp
 
 CONFIG = PRESETS["fixture"]
 PER_STREAM = 100
+#: The ordinal that a canonical stream ends with, also one that the table holds only the beginning of.
+LAST_ORD = PER_STREAM - 1
 _KEPT: dict[tuple, object] = {}
 
 
