@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +65,27 @@ def max_similarity(query: Column, vectors: Column) -> Column:
     return F.array_max(F.transform(vectors, lambda v: cosine(query, v)))
 
 
+def matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Arrow lists as the rows of a matrix, filled up with zeros, and their lengths: -1 for what has no similarity, null lists and those with a null."""
+    sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    values, width = flat.to_numpy(zero_copy_only=False).astype(np.float64), max(0, int(sizes.max(initial=0)))
+    if not flat.null_count and (sizes == width).all():
+        return values.reshape(len(sizes), width), sizes
+    inside = np.arange(width) < sizes[:, None]
+    rows, bare = np.zeros(inside.shape), np.zeros(inside.shape, dtype=bool)
+    rows[inside], bare[inside] = values, flat.is_null().to_numpy(zero_copy_only=False)
+    return rows, np.where(bare.any(axis=1), -1, sizes)
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """dot of the rows of two matrices, added up in the same order, so that both give the same bits. Quickest where columns are contiguous."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
 def to_bytes(dim: int):
     """Arrow UDF: vector to little-endian float32 bytes; null stays null."""
     @F.pandas_udf("binary")

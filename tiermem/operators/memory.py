@@ -7,28 +7,68 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text
-from ..functions.vector import EPS, centroid, cosine, dot, let, norm, normalised, softmax, total, weighted
+from ..functions.vector import EPS, centroid, cosine, dot, dots, let, matrix, norm, normalised, softmax, total, weighted
 
 KEY = "stream_id"
 
 
+def _differs(keys: pa.ChunkedArray, blocks: np.ndarray) -> np.ndarray:
+    """Whether each row but the first is of another key or block than the one before it."""
+    return pc.not_equal(keys.slice(1), keys.slice(0, max(0, len(keys) - 1))).to_numpy() | (blocks[1:] != blocks[:-1])
+
+
 def novelty(windows: DataFrame, config: Config) -> DataFrame:
     """windows with max_sim (null: no neighbour) and promoted.
 
-    The band is joined by blocks of capacity ordinals: a window meets its own block and the next, so a long stream is spread over many keys."""
+    The band is cut into blocks of capacity ordinals: a window is sought for in its own block, and is sent to the block before as well, where it only
+    meets earlier ones. So a long stream is spread over many keys. Rows are streamed in order, and all pairs that lie equally far apart in a batch are
+    compared at once; only the last block of a batch is held until the next."""
     c = config.recent_capacity
-    block = F.floor(F.col("window_ord") / c)
-    length = norm(F.col("visual_embedding"))  # once for each window, not for each pair
-    left = windows.select(KEY, F.col("window_ord").alias("i"), F.col("visual_embedding").alias("vi"), length.alias("li"), F.explode(F.array(block, block + 1)).alias("block"))
-    right = windows.select(KEY, F.col("window_ord").alias("j"), F.col("visual_embedding").alias("vj"), length.alias("lj"), block.alias("block"))
-    pairs = left.join(right, [KEY, "block"]).where("j > i").where(F.col("j") <= F.col("i") + c)
-    best = pairs.groupBy(KEY, F.col("i").alias("window_ord")).agg(F.max(dot(F.col("vi"), F.col("vj")) / (F.col("li") * F.col("lj") + F.lit(EPS))).alias("max_sim"))
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        ords, blocks, own = (rows.column(n).to_numpy() for n in ("window_ord", "block", "own"))
+        vectors, sizes = matrix(rows.column("visual_embedding").combine_chunks())
+        vectors = np.asfortranarray(vectors)
+        lengths = np.sqrt(dots(vectors, vectors))
+        group = np.concatenate([[0], np.cumsum(_differs(rows.column(KEY), blocks))])
+        best, met = np.full(len(ords), -np.inf), np.zeros(len(ords), dtype=bool)
+        for s in range(1, len(ords)):
+            same = group[s:] == group[:-s]
+            if not same.any():
+                break
+            ahead = ords[s:] - ords[:-s]
+            at = np.flatnonzero(same & own[:-s] & (ahead > 0) & (ahead <= c) & (sizes[:-s] >= 0) & (sizes[s:] == sizes[:-s]))
+            sims = dots(vectors[:-s], vectors[s:]) / (lengths[:-s] * lengths[s:] + EPS)
+            best[at] = np.maximum(best[at], sims[at])
+            met[at] = True
+        found = pa.RecordBatch.from_arrays([rows.column(KEY).combine_chunks(), pa.array(ords), pa.array(best, mask=~met)], names=[KEY, "window_ord", "max_sim"])
+        return found.filter(pa.array(met))
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            ends = np.flatnonzero(_differs(rows.column(KEY), rows.column("block").to_numpy()))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            held = rows.slice(cut)
+            if cut:
+                yield compare(rows.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    at = F.floor(F.col("window_ord") / c)
+    rows = windows.where(F.col(KEY).isNotNull() & F.col("window_ord").isNotNull()).select(KEY, F.col("window_ord").cast("long").alias("window_ord"), "visual_embedding", F.explode(F.array(at, at - 1)).alias("block")).withColumn("own", F.col("block") == at)
+    sims = rows.repartition(KEY, "block").sortWithinPartitions(KEY, "block", "window_ord").mapInArrow(band, f"{KEY} {windows.schema[KEY].dataType.simpleString()}, window_ord long, max_sim double")
+    best = sims.groupBy(KEY, "window_ord").agg(F.max("max_sim").alias("max_sim"))
     return windows.join(best, [KEY, "window_ord"], "left").withColumn("promoted", F.col("max_sim").isNull() | (1 - F.col("max_sim") > config.novelty_threshold))
 
 
@@ -44,14 +84,14 @@ def runs(rows: DataFrame, order: str, max_gap: float, min_sim: float, max_len: i
     takes a bounded memory, though one task."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         stream, run, size, total, last = None, -1, 0, None, 0.0
         for batch in batches:
-            keys, places, starts, ends, vectors, cuts = (batch.column(i).to_pylist() for i in range(6))
+            keys, starts, ends, cuts = (batch.column(i).to_pylist() for i in (0, 2, 3, 5))
+            vectors, sizes = matrix(batch.column(4))
+            if len(sizes) and ((sizes < 0).any() or (sizes != sizes[0]).any()):
+                vectors = [np.asarray(v, dtype=np.float64) for v in batch.column(4).to_pylist()]
             out = []
             for k, s, e, v, c in zip(keys, starts, ends, vectors, cuts, strict=True):
-                v = np.asarray(v, dtype=np.float64)
                 if k != stream or run < 0:
                     stream, run, join = k, 0, False
                 else:

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..deploy import ship
 from ..functions.vector import cosine, max_similarity
 from ..sources.staging import drop_staged, staged
 from . import memory
 
 Q = ["stream_id", "question_id"]
+#: What the memory keeps of a window.
+WINDOW = ["stream_id", "window_ord", "window_id", "start_time", "end_time", "visual_embedding", "summary_text", "summary_embedding"]
 
 
 def query_time(config: Config) -> Column:
@@ -41,10 +44,12 @@ def spans(*tiers: DataFrame) -> DataFrame:
 
 
 def scored(rows: DataFrame, span: DataFrame, vectors: Column, config: Config) -> DataFrame:
-    """rows with score; vectors is an array of vectors, of which the most similar counts."""
+    """rows with score; vectors is an array of vectors, of which the most similar counts. What only the score needs is left out of the result, so that
+    ranking does not exchange it."""
     rows = rows.join(span, Q)
     fade = decay(F.col("start_time"), F.col("end_time"), query_time(config), F.col("span"), config.tau_fraction)
-    return rows.withColumn("decay", fade).withColumn("score", blended(max_similarity(F.col("query_vis_emb"), vectors), F.coalesce("query_txt_emb", "query_vis_emb"), F.col("summary_embedding"), F.col("decay"), config))
+    score = blended(max_similarity(F.col("query_vis_emb"), vectors), F.coalesce("query_txt_emb", "query_vis_emb"), F.col("summary_embedding"), F.col("decay"), config)
+    return rows.withColumn("decay", fade).withColumn("score", score).drop("query_vis_emb", "query_txt_emb", "summary_embedding", "rep_vectors")
 
 
 def ranked(rows: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -96,6 +101,7 @@ class Retrieval:
     def __init__(self, questions: DataFrame, windows: DataFrame, config: Config, summarise: Callable[[DataFrame], DataFrame] | None = None, encode: Callable[[Column], Column] | None = None) -> None:
         self.config, self.questions, self._windows, self.summarise, self.encode = config, questions, windows, summarise, encode
         self._written: list[DataFrame] = []
+        ship(windows.sparkSession)  # the workers compare vectors with the package's own functions
 
     def _staged(self, df: DataFrame, tag: str) -> DataFrame:
         out = staged(df, tag)
@@ -133,7 +139,7 @@ class Retrieval:
 
     @cached_property
     def gate(self) -> DataFrame:
-        return self._staged(memory.novelty(self.windows, self.config), "gate")
+        return self._staged(memory.novelty(self.windows.select(*WINDOW), self.config), "gate")
 
     @cached_property
     def segmented(self) -> DataFrame:

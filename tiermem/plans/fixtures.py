@@ -36,10 +36,10 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(streams: DataFrame) -> DataFrame:
-    """Six questions a stream, the last after its end."""
-    q = streams.select("stream_id").distinct().select("stream_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
-    q = q.withColumn("window_ord", ((F.col("k") * 17 + 5) % PER_STREAM).cast("long"))
-    q = q.join(streams.select("stream_id", "window_ord", "visual_embedding", "raw", "task_type"), ["stream_id", "window_ord"])
+    """Six questions a stream, the last after its end, each made of one window. So they are read off the windows, without a join."""
+    at = {(k * 17 + 5) % PER_STREAM: k for k in range(6)}
+    number = F.element_at(F.create_map(*[F.lit(x) for o, k in at.items() for x in (o, k)]), F.col("window_ord").cast("int"))
+    q = streams.where(F.col("window_ord").isin(*at)).withColumn("k", number)
     letter = F.element_at(F.array(*map(F.lit, "ABCD")), ((F.col("stream_id").cast("int") + F.col("k")) % 4) + 1)
     return q.select(
         "stream_id", F.concat_ws("-", "stream_id", F.col("k").cast("string")).alias("question_id"), ((F.col("k") + 1) * 57.0 + 0.5).alias("t_seconds"), F.col("visual_embedding").alias("query_vis_emb"), F.col("raw").alias("query_txt_emb"),
